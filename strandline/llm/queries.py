@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.llm import language, media, mixing, toxicity
+from strandline.llm import decontaminate, language, media, mixing, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +19,13 @@ def _fold(parts: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def op1_decontaminate(spark, sf_dir):
+    """What of every document stands in the benchmark, by exact windows of ten words."""
+    found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op2_media(spark, sf_dir):
     """Every text stored as a PNG and read back: digests of payload and image, and the cosine hash as ``feature``."""
     docs = _table(spark, sf_dir, "documents")
@@ -48,5 +55,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {"op2_media": op2_media, "op3_toxicity": op3_toxicity, "op9_language": op9_language, "op10_mixing": op10_mixing}
-ORACLE |= {"op10_mixing": mixing.mix_sql()}
+QUERIES |= {"op1_decontaminate": op1_decontaminate, "op2_media": op2_media, "op3_toxicity": op3_toxicity, "op9_language": op9_language, "op10_mixing": op10_mixing}
+ORACLE |= {"op1_decontaminate": decontaminate.scan_sql(), "op10_mixing": mixing.mix_sql()}
