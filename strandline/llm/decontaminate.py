@@ -131,7 +131,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
 
 def scan_sql(docs: str = "documents", items: str = "benchmark", window: int = WINDOW) -> str:
     """DuckDB SQL for the digest columns of scan(), by comparing windows as strings."""
-    cut = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+    cut = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
     with d as (select doc_id, {cut} as w, row_number() over () as r from {docs}),
     i as (select cast(item_id as varchar) as item, {cut} as w from {items}),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, language, media, mixing, toxicity
+from strandline.llm import decontaminate, language, licenses, media, mixing, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,17 @@ def op3_toxicity(spark, sf_dir):
     return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_licenses(spark, sf_dir):
+    """Base license phrases and template blocks of every text."""
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    places = F.col("places")
+    return found.select(
+        "doc_id", "n_words", F.size(places).cast("bigint").alias("n_base"), F.get(places, F.lit(0)).cast("bigint").alias("first_word"),
+        F.get(places, F.size(places) - 1).cast("bigint").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op9_language(spark, sf_dir):
     """The language of every text, by trees learned from documents outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents")
@@ -55,5 +66,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {"op1_decontaminate": op1_decontaminate, "op2_media": op2_media, "op3_toxicity": op3_toxicity, "op9_language": op9_language, "op10_mixing": op10_mixing}
-ORACLE |= {"op1_decontaminate": decontaminate.scan_sql(), "op10_mixing": mixing.mix_sql()}
+QUERIES |= {"op1_decontaminate": op1_decontaminate, "op2_media": op2_media, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses, "op9_language": op9_language, "op10_mixing": op10_mixing}
+ORACLE |= {"op4_licenses": licenses.scan_sql(), "op1_decontaminate": decontaminate.scan_sql(), "op10_mixing": mixing.mix_sql()}
