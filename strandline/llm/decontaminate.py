@@ -40,10 +40,11 @@ class Index:
 
 def build(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index of ``docs`` for the phrases ``found``. A document is a row, so rows that share an id stay apart."""
-    spelled = stored(found.select(F.monotonically_increasing_id().alias("phrase"), "item", "phrase_at", F.posexplode("terms").alias("offset", "word")), "phrases")
+    spelled = found.withColumn("phrase", F.monotonically_increasing_id())
+    spelled = stored(spelled.select("phrase", "item", "phrase_at", F.posexplode("terms").alias("offset", "word")), "phrases")
     vocabulary = stored(spelled.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
     phrase_terms = spelled.join(small(vocabulary, BROADCAST_ROWS), "word").select("phrase", "item", "phrase_at", "offset", "term")
-    tokens = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w"))
+    tokens = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w")).withColumn("row", F.monotonically_increasing_id())
     tokens = tokens.select("row", "doc", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("position", "word"))
     postings = tokens.join(small(vocabulary, BROADCAST_ROWS), "word", "left").filter("term is not null or coalesce(position, 0) = 0")
     postings = stored(postings.select("row", "doc", "n_words", "term", "position"), "postings")
