@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, language, licenses, media, mixing, toxicity
+from strandline.llm import decontaminate, language, licenses, media, mixing, neardup, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +53,11 @@ def op4_licenses(spark, sf_dir):
     )
 
 
+def op7_neardup(spark, sf_dir):
+    """Near-duplicate components of all texts, by four-word shingles at 80 hundredths."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op9_language(spark, sf_dir):
     """The language of every text, by trees learned from documents outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents")
@@ -66,5 +71,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {"op1_decontaminate": op1_decontaminate, "op2_media": op2_media, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses, "op9_language": op9_language, "op10_mixing": op10_mixing}
+QUERIES |= {"op1_decontaminate": op1_decontaminate, "op2_media": op2_media, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses, "op7_neardup": op7_neardup, "op9_language": op9_language, "op10_mixing": op10_mixing}
 ORACLE |= {"op4_licenses": licenses.scan_sql(), "op1_decontaminate": decontaminate.scan_sql(), "op10_mixing": mixing.mix_sql()}
