@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, language, licenses, media, mixing, neardup, substrings, toxicity
+from strandline.llm import decontaminate, html, language, licenses, media, mixing, neardup, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -59,6 +59,12 @@ def op5_substrings(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_html(spark, sf_dir):
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(html.sample_pages(pages))).select("page_id", "url", "text", "n_chars")
+
+
 def op7_neardup(spark, sf_dir):
     """Near-duplicate components of all texts, by four-word shingles at 80 hundredths."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -77,5 +83,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {"op1_decontaminate": op1_decontaminate, "op2_media": op2_media, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses, "op5_substrings": op5_substrings, "op7_neardup": op7_neardup, "op9_language": op9_language, "op10_mixing": op10_mixing}
+QUERIES |= {"op1_decontaminate": op1_decontaminate, "op2_media": op2_media, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses, "op5_substrings": op5_substrings, "op6_html": op6_html, "op7_neardup": op7_neardup, "op9_language": op9_language, "op10_mixing": op10_mixing}
 ORACLE |= {"op4_licenses": licenses.scan_sql(), "op1_decontaminate": decontaminate.scan_sql(), "op10_mixing": mixing.mix_sql()}
