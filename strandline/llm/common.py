@@ -69,3 +69,43 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         labels = after.select("node", "comp")
         if not moved:
             return labels
+
+
+def bucket_components(members: DataFrame, verify, near=None, rounds: int = 3, orders: int = 4) -> DataFrame:
+    """Components of the links among nodes that share a bucket: (node, comp), only nodes that have a link.
+
+    ``members``: (key, band, node, sig), a stored table with a row for each bucket that a node is in; ``near(sig_a, sig_b)`` is a cheap column
+    test, ``verify(pairs)`` gives back those rows (a, b) that are links. Members are not paired with each other: in each
+    round every bucket that spans several components names a head (the least by an order that changes with the band and
+    the round), and members outside the head's component are compared with it. What is left after ``rounds`` are pairs
+    of one bucket in different components, and those are compared one by one, so the components are exact; copies of one
+    thing have become one component by then.
+    """
+    spark = members.sparkSession
+    comps = spark.createDataFrame([], "node bigint, comp bigint")
+    done = good = spark.createDataFrame([], "a bigint, b bigint")
+    for turn in range(rounds + 1):
+        now = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if turn:  # at first every bucket is open
+            spans = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+            now = now.join(spans, "key")
+        if turn < rounds:
+            order = F.xxhash64("node", F.pmod("band", F.lit(orders)), F.lit(turn))
+            heads = now.withColumn("order", order).groupBy("key").agg(F.min(F.struct("order", "node", "comp", "sig")).alias("head"))
+            other = heads.select("key", F.col("head.node").alias("b"), F.col("head.comp").alias("b_comp"), F.col("head.sig").alias("b_sig"))
+            pairs = now.join(other, "key").filter("comp <> b_comp")
+        else:
+            other = now.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("sig").alias("b_sig"))
+            pairs = now.join(other, "key").filter("comp < b_comp")
+        if near is not None:
+            pairs = pairs.filter(near(F.col("sig"), F.col("b_sig")))
+        pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        pairs = stored(pairs.join(done, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        if not pairs.limit(1).count():
+            continue
+        done = done.unionByName(pairs)
+        fresh = stored(verify(pairs), "links")
+        if fresh.limit(1).count():
+            good = good.unionByName(fresh)
+            comps = components(good)
+    return comps

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, small, stored
+from strandline.llm.common import bucket_components, small, stored
 
 T, R = 128, 4  # coordinates, and coordinates to a band: at similarity 0.8 a pair misses all 32 bands once in 2e7
 ORDERS = 4  # different choices of representatives among the bands of a round
@@ -166,37 +166,12 @@ def links(docs: DataFrame, width: int, percent: int = 80, id_col: str = "doc_id"
     classes = found.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
     keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    keyed = keyed.select("key", "band", "node", F.lit(0).alias("sig"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     # buckets of one are gone here: what is left are members of candidate groups
-    members = stored(keyed.join(full, "key").select("key", "band", "node"), "buckets")
+    members = stored(keyed.join(full, "key"), "candidates")
     sets = stored(_sets(docs, members.select(F.col("node").alias("id")).distinct(), width, id_col, text_col), "sets")
-    spark = docs.sparkSession
-    comps = spark.createDataFrame([], "node bigint, comp bigint")
-    done = spark.createDataFrame([], "a bigint, b bigint")
-    good = done
-    for turn in range(rounds + 1):
-        # buckets whose members are not all in one component yet
-        now = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        now = now.join(open_, "key")
-        if turn < rounds:
-            order = F.xxhash64("node", F.pmod("band", F.lit(ORDERS)), F.lit(turn)) if turn else F.when(F.pmod("band", F.lit(ORDERS)) == 0, F.lit(0)).otherwise(F.xxhash64("node", F.pmod("band", F.lit(ORDERS))))
-            ranked = now.withColumn("order", order)
-            heads = ranked.groupBy("key").agg(F.min(F.struct("order", "node", "comp")).alias("head")).select("key", F.col("head.node").alias("b"), F.col("head.comp").alias("b_comp"))
-            pairs = now.join(heads, "key").filter("comp <> b_comp").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        else:
-            other = now.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"))
-            pairs = now.join(other, "key").filter("comp < b_comp").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        pairs = stored(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            if turn < rounds:
-                continue
-            break
-        fresh = stored(_verified(pairs, sets, percent), "links")
-        done = done.unionByName(pairs)
-        if fresh.limit(1).count():
-            good = good.unionByName(fresh)
-            comps = components(good)
+    comps = bucket_components(members, lambda pairs: _verified(pairs, sets, percent), rounds=rounds, orders=ORDERS)
     return found.join(classes.select("set_key", "node"), "set_key", "left"), comps
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, html, language, licenses, media, mixing, neardup, substrings, toxicity
+from strandline.llm import decontaminate, html, language, licenses, lines, media, mixing, neardup, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +70,12 @@ def op7_neardup(spark, sf_dir):
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_lines(spark, sf_dir):
+    """Every text without repeated lines: how many it had and lost, and a digest of what is left."""
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_language(spark, sf_dir):
     """The language of every text, by trees learned from documents outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents")
@@ -83,5 +89,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {"op1_decontaminate": op1_decontaminate, "op2_media": op2_media, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses, "op5_substrings": op5_substrings, "op6_html": op6_html, "op7_neardup": op7_neardup, "op9_language": op9_language, "op10_mixing": op10_mixing}
+QUERIES |= {"op1_decontaminate": op1_decontaminate, "op2_media": op2_media, "op3_toxicity": op3_toxicity, "op4_licenses": op4_licenses, "op5_substrings": op5_substrings, "op6_html": op6_html, "op7_neardup": op7_neardup, "op8_lines": op8_lines, "op9_language": op9_language, "op10_mixing": op10_mixing}
 ORACLE |= {"op4_licenses": licenses.scan_sql(), "op1_decontaminate": decontaminate.scan_sql(), "op10_mixing": mixing.mix_sql()}
