@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Bytes as symbols: lower-case letters, the bytes of two-byte Latin characters, space, and one symbol for each kind of
 #: what is left. Capital ASCII letters share the symbol of the small ones.
@@ -180,3 +181,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with lang_pred and lang_score as identify() gives them (replaced if there are such columns)."""
+    held = docs.sparkSession.sparkContext.broadcast((model.langs, model.costs, model.row_of))
+    own = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = Model(*held.value)
+        for batch in batches:
+            found = [ready.predict(t) for t in batch.column(0).to_pylist()]
+            said = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *said], names=[*own, "lang_pred", "lang_score"])
+
+    rows = docs.select(F.col(text_col).alias("__sl_text"), *own)
+    kind = StructType([*(docs.schema[c] for c in own), StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    return rows.mapInArrow(run, kind)
