@@ -42,3 +42,10 @@ def scan_rank_threshold(spark, sf_dir):
         .filter(F.col("score") >= 150)
         .orderBy(F.desc("score"), F.desc("user_id"))
     )
+
+
+def _load() -> None:
+    """The modules that register queries."""
+    from strandline.plans import graphs, joins, kernels, labels, streams  # noqa: F401
+
+_load()
