@@ -49,6 +49,10 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of a round of components() for which a task is worth its start.
+ROWS_A_TASK = 200_000
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (a, b: bigint): rows (node, comp), comp the smallest node reachable.
 
@@ -57,43 +61,56 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stored(both, name)
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), name)
+    # few edges are kept in few files: a round over a thousand links should not cost a task for each shuffle partition
+    tasks = 1 + both.count() // ROWS_A_TASK
+    both = stored(both.coalesce(tasks), name)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).coalesce(tasks), name)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("best"))
         best = labels.join(near, "node").select("node", "comp", F.least("comp", "best").alias("best"))
         # jump: the label of the label
         hop = labels.select(F.col("node").alias("best"), F.col("comp").alias("far"))
         after = best.join(hop, "best", "left").select("node", F.least("best", F.coalesce("far", "best")).alias("comp"), F.col("comp").alias("was"))
-        after = stored(after, name)
+        after = stored(after.coalesce(tasks), name)
         moved = after.filter("comp <> was").limit(1).count()
         labels = after.select("node", "comp")
         if not moved:
             return labels
 
 
-def bucket_components(members: DataFrame, verify, near=None, rounds: int = 3, orders: int = 4) -> DataFrame:
+def bucket_components(members: DataFrame, verify, near=None, rest=None, rounds: int = 2, orders: int = 4) -> DataFrame:
     """Components of the links among nodes that share a bucket: (node, comp), only nodes that have a link.
 
-    ``members``: (key, band, node, sig), a stored table with a row for each bucket that a node is in; ``near(sig_a, sig_b)`` is a cheap column
-    test, ``verify(pairs)`` gives back those rows (a, b) that are links. Members are not paired with each other: in each
-    round every bucket that spans several components names a head (the least by an order that changes with the band and
-    the round), and members outside the head's component are compared with it. What is left after ``rounds`` are pairs
-    of one bucket in different components, and those are compared one by one, so the components are exact; copies of one
-    thing have become one component by then.
+    ``members``: (key, band, node, sig, weight), a stored table with a row for each bucket that a node is in;
+    ``near(sig_a, sig_b)`` is a cheap column test, ``verify(pairs)`` gives back those rows (a, b) that are links. Members
+    are not paired with each other: in each round every bucket that spans several components names a head (first the one
+    of most weight, then by an order that changes with the band and the round), and members outside the head's component
+    are compared with it. For what is left then, nodes of one bucket in different components, ``rest(members with comp)``
+    gives the links; without it the pairs that pass ``near`` are verified one by one. So the components are exact, and
+    copies of one thing have become one component before anything is compared pair by pair.
     """
     spark = members.sparkSession
     comps = spark.createDataFrame([], "node bigint, comp bigint")
-    done = good = spark.createDataFrame([], "a bigint, b bigint")
+    done = spark.createDataFrame([], "a bigint, b bigint")
+    open_ = members
     for turn in range(rounds + 1):
-        now = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if turn:  # at first every bucket is open
-            spans = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            now = now.join(spans, "key")
+        if turn:
+            # a bucket is closed for good when its members are in one component, or are two, which have been compared
+            now = open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            spans = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+            now = stored(now.join(spans.filter("lo < hi and n > 2").select("key"), "key"), "open")
+            if not now.limit(1).count():
+                break
+            open_ = now.drop("comp")
+        else:
+            now = open_.withColumn("comp", F.col("node"))
         if turn < rounds:
-            order = F.xxhash64("node", F.pmod("band", F.lit(orders)), F.lit(turn))
+            order = F.struct(F.lit(0) if turn else -F.col("weight"), F.xxhash64("node", F.pmod("band", F.lit(orders)), F.lit(turn)))
             heads = now.withColumn("order", order).groupBy("key").agg(F.min(F.struct("order", "node", "comp", "sig")).alias("head"))
             other = heads.select("key", F.col("head.node").alias("b"), F.col("head.comp").alias("b_comp"), F.col("head.sig").alias("b_sig"))
             pairs = now.join(other, "key").filter("comp <> b_comp")
+        elif rest is not None:
+            return merged(comps, stored(rest(now), "links"))
         else:
             other = now.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("sig").alias("b_sig"))
             pairs = now.join(other, "key").filter("comp < b_comp")
@@ -104,8 +121,18 @@ def bucket_components(members: DataFrame, verify, near=None, rounds: int = 3, or
         if not pairs.limit(1).count():
             continue
         done = done.unionByName(pairs)
-        fresh = stored(verify(pairs), "links")
-        if fresh.limit(1).count():
-            good = good.unionByName(fresh)
-            comps = components(good)
+        comps = merged(comps, stored(verify(pairs), "links"))
     return comps
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after ``links`` are added: links are drawn between components first, so each round is as small as what
+    it changes."""
+    if not links.limit(1).count():
+        return comps
+    own = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    drawn = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    found = components(drawn.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
+    moved = comps.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    fresh = found.join(comps.select("node"), "node", "left_anti")
+    return stored(moved.unionByName(fresh), "components")

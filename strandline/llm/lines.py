@@ -77,7 +77,7 @@ def fuzzy_groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARI
     choices = F.array(*(F.xxhash64(F.col("sig").bitwiseAND(F.lit(_signed(m))), F.lit(c)) for c, m in enumerate(masks(n, k))))
     keyed = nodes.select(F.col("key").alias("node"), "sig", F.posexplode(choices).alias("band", "key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = stored(keyed.join(full, "key").select("key", "band", "node", "sig"), "line-buckets")
+    members = stored(keyed.join(full, "key").select("key", "band", "node", "sig", F.lit(0).alias("weight")), "line-buckets")
 
     def near(a, b):
         return F.bit_count(a.bitwiseXOR(b)) <= k

@@ -7,8 +7,8 @@ around the Jaccard similarity. R coordinates make a band; texts that share a ban
 
 Texts with equal shingle sets are one node from the start. Within a band's bucket members are not paired with each other
 but with a few representatives; links found make components, and only pairs of a bucket that are in different components
-are then compared, in rounds with new representatives and at last pair by pair. So no link between components is lost
-and a large group of copies costs its size, not its square.
+are then compared: in a round with new representatives, and what is left in blocks of sets against blocks of sets, from
+which only links come out. So no link between components is lost, and no task holds a group.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bucket_components, small, stored
+from strandline.llm.common import bucket_components, components, small, stored
 
 T, R = 128, 4  # coordinates, and coordinates to a band: at similarity 0.8 a pair misses all 32 bands once in 2e7
-ORDERS = 4  # different choices of representatives among the bands of a round
+BLOCK = 128  # sets that are compared with as many others at once
 #: Candidate ids up to so many are broadcast to pick their texts, after they have been counted.
 BROADCAST_ROWS = 500_000
 SALT_ROWS = 500  # pairs of one representative that go to one task together
@@ -157,7 +157,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, width: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets, by products of their incidence matrices over what occurs
+    twice, some columns at a time."""
+    both = [*xs, *ys]
+    out = np.zeros((len(xs), len(ys)))
+    if not sum(map(len, both)):
+        return out
+    _, kind, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    twice = count > 1
+    keep = twice[kind]
+    column, row = (np.cumsum(twice) - 1)[kind[keep]], row[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    wide = 4096
+    for at in range(0, int(twice.sum()), wide):
+        lo, hi = np.searchsorted(column, (at, at + wide))
+        m = np.zeros((len(both), wide), np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        out += m[: len(xs)] @ m[len(xs) :].T
+    return out
+
+
+def _between(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among nodes of different components that buckets still hold together.
+
+    Nodes that buckets connect are one group; a group is cut into blocks of about BLOCK nodes, a large component into
+    blocks of its own, and every two blocks meet unless all in them is one component.
+    """
+    heads = now.groupBy("key").agg(F.min("node").alias("b"))
+    tied = now.join(heads, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    groups = components(tied).select("node", F.col("comp").alias("grp"))
+    nodes = stored(now.select("node", "comp").distinct().join(groups, "node"), "left-over")
+    sizes = nodes.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    pooled = sizes.filter(F.col("n") < BLOCK).groupBy("grp").agg(F.sum("n").alias("pool"))
+    sized = nodes.join(sizes, ["grp", "comp"]).join(pooled, "grp", "left")
+    share = lambda n, key: F.pmod(F.xxhash64(key), F.ceil(n / BLOCK))
+    block = F.when(F.col("n") >= BLOCK, F.xxhash64("comp", share(F.col("n"), "node"))).otherwise(F.xxhash64(F.lit("pool"), share(F.col("pool"), "comp")))
+    rows = sized.select("grp", block.alias("block"), "node", "comp").join(sets.withColumnRenamed("id", "node"), "node")
+    packed = stored(rows.groupBy("grp", "block").agg(F.collect_list(F.struct("node", "comp", "set")).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
+    one, two = (packed.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "lo", "hi"))) for x in "ab")
+    met = one.join(two, "grp").filter("block_a <= block_b and not (lo_a = hi_a and lo_b = hi_b and lo_a = lo_b)").select("grp", "block_a", "block_b")
+    met = stored(met, "block-pairs")
+    first, second = (packed.select("grp", F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (na, ca, xs), (nb, cb, ys) = (_unpacked(batch.column(c)[k].values) for c in (0, 1))
+                both = overlaps(xs, ys)
+                la, lb = (np.array([len(x) for x in q], float) for q in (xs, ys))
+                link = (100 * both >= percent * (la[:, None] + lb[None, :] - both)) & (ca[:, None] != cb[None, :])
+                i, j = np.nonzero(link)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(na[i], nb[j])), pa.array(np.maximum(na[i], nb[j]))], names=["a", "b"])
+
+    # pairs of blocks are dealt by themselves, so a group is spread over all tasks
+    joined = met.join(first, ["grp", "block_a"]).join(second, ["grp", "block_b"])
+    return joined.select("rows_a", "rows_b").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return rows.field(0).to_numpy(zero_copy_only=False), rows.field(1).to_numpy(zero_copy_only=False), [np.frombuffer(x, np.uint64) for x in rows.field(2).to_pylist()]
+
+
+def links(docs: DataFrame, width: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(signatures with the id of each set's class, components of linked classes): the sets' links, whole.
 
     The second has (node, comp) for classes that have a link; others are alone.
@@ -166,12 +230,14 @@ def links(docs: DataFrame, width: int, percent: int = 80, id_col: str = "doc_id"
     classes = found.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
     keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    keyed = keyed.select("key", "band", "node", F.lit(0).alias("sig"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     # buckets of one are gone here: what is left are members of candidate groups
-    members = stored(keyed.join(full, "key"), "candidates")
-    sets = stored(_sets(docs, members.select(F.col("node").alias("id")).distinct(), width, id_col, text_col), "sets")
-    comps = bucket_components(members, lambda pairs: _verified(pairs, sets, percent), rounds=rounds, orders=ORDERS)
+    shared = stored(keyed.join(full, "key"), "candidates")
+    # who meets most others is the likely middle of its group, and heads its buckets first
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = stored(shared.join(weight, "node").select("key", "band", "node", F.lit(0).alias("sig"), "weight"), "members")
+    sets = stored(_sets(docs, weight.select(F.col("node").alias("id")), width, id_col, text_col), "sets")
+    comps = bucket_components(members, lambda pairs: _verified(pairs, sets, percent), rest=lambda now: _between(now, sets, percent))
     return found.join(classes.select("set_key", "node"), "set_key", "left"), comps
 
 
