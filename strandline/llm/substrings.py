@@ -21,13 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import small, stored
+from strandline.llm.common import stored
 
 LENGTH, SEED = 400, 64
 #: Runs are cut at so many bytes of contexts, which bounds a task's memory while it sorts.
 RUN_BYTES = 24_000_000
-#: Rows of places up to which they are broadcast to the texts, after they have been counted.
-BROADCAST_ROWS = 20_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 _BLOCK = 1 << 16
@@ -358,9 +356,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text_col: s
     again = single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     wanted = stored(single.join(again, "h", "left_semi").groupBy("key").agg(F.collect_list("at").alias("wanted")), "wanted")
     keyed = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # one copy of each text: by its key beside the size of what is wanted, without a sort of texts
-    rows = keyed.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "key")
+    # what is wanted grows with the texts, so it is dealt out with them, and hashed there instead of sorting texts
+    rows = keyed.join(wanted.hint("shuffle_hash"), "key")
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = rows.select("key", "text", "wanted").dropDuplicates(["key"]).mapInArrow(_runs(length, seed, 4 * parts), RUN_DDL)
@@ -401,8 +398,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     found = repeats(docs, length, seed, text_col)
     grouped = stored(found.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     kind = docs.schema[id_col].dataType.simpleString()
-    few = grouped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    rows = keyed.join(F.broadcast(grouped) if few else grouped.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
+    rows = keyed.join(grouped.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
     made = rows.mapInArrow(_cut, f"id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
     return made.withColumnRenamed("id", id_col)
