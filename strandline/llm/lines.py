@@ -18,7 +18,7 @@ from strandline.llm.common import bucket_components, small, stored, words
 BITS, K = 64, 3
 SIMILARITY = 0.8
 #: Tables of repeated lines or of candidates up to so many rows are broadcast, after they have been counted.
-BROADCAST_ROWS = 150_000
+BROADCAST_ROWS = 400_000
 _LANES = 0x0101010101010101
 _CHUNK = 127  # words that a lane of eight bits can count without touching the sign
 
@@ -75,9 +75,11 @@ def fuzzy_groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARI
     """(node, comp): connected groups of distinct lines (key, sig) by verified links; lines without a link are left out."""
     n = nodes.count()
     choices = F.array(*(F.xxhash64(F.col("sig").bitwiseAND(F.lit(_signed(m))), F.lit(c)) for c, m in enumerate(masks(n, k))))
-    keyed = nodes.select(F.col("key").alias("node"), "sig", F.posexplode(choices).alias("band", "key"))
+    keyed = nodes.select(F.col("key").alias("node"), F.posexplode(choices).alias("band", "key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = stored(keyed.join(full, "key").select("key", "band", "node", "sig", F.lit(0).alias("weight")), "line-buckets")
+    # the hashes are added to those rows alone that share a bucket
+    sigs = nodes.select(F.col("key").alias("node"), "sig")
+    members = stored(keyed.join(full, "key").join(sigs, "node").select("key", "band", "node", "sig", F.lit(0).alias("weight")), "line-buckets")
 
     def near(a, b):
         return F.bit_count(a.bitwiseXOR(b)) <= k
