@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,6 +44,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_and(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """stored(), and a count taken while it is written: of rows, or of rows for which ``what`` is true."""
+    seen = Observation()
+    kept = stored(df.observe(seen, F.count_if(F.lit(True) if what is None else what).alias("n")), name)
+    return kept, seen.get["n"]
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -60,10 +67,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     edges do no harm; no edges give no rows. Skewed nodes are met by map-side minima before each shuffle.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stored(both, name)
-    # few edges are kept in few files: a round over a thousand links should not cost a task for each shuffle partition
-    tasks = 1 + both.count() // ROWS_A_TASK
-    both = stored(both.coalesce(tasks), name)
+    both, n = stored_and(both, name)
+    # few edges are met in few tasks: a round over a thousand links should not cost a task for each shuffle partition
+    tasks = 1 + n // ROWS_A_TASK
+    both = both.coalesce(tasks)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).coalesce(tasks), name)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("best"))
@@ -71,8 +78,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         # jump: the label of the label
         hop = labels.select(F.col("node").alias("best"), F.col("comp").alias("far"))
         after = best.join(hop, "best", "left").select("node", F.least("best", F.coalesce("far", "best")).alias("comp"), F.col("comp").alias("was"))
-        after = stored(after.coalesce(tasks), name)
-        moved = after.filter("comp <> was").limit(1).count()
+        after, moved = stored_and(after.coalesce(tasks), name, F.col("comp") != F.col("was"))
         labels = after.select("node", "comp")
         if not moved:
             return labels
@@ -98,8 +104,8 @@ def bucket_components(members: DataFrame, verify, near=None, rest=None, rounds:
             # a bucket is closed for good when its members are in one component, or are two, which have been compared
             now = open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             spans = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-            now = stored(now.join(spans.filter("lo < hi and n > 2").select("key"), "key"), "open")
-            if not now.limit(1).count():
+            now, n = stored_and(now.join(spans.filter("lo < hi and n > 2").select("key"), "key"), "open")
+            if not n:
                 break
             open_ = now.drop("comp")
         else:
@@ -110,25 +116,25 @@ def bucket_components(members: DataFrame, verify, near=None, rest=None, rounds:
             other = heads.select("key", F.col("head.node").alias("b"), F.col("head.comp").alias("b_comp"), F.col("head.sig").alias("b_sig"))
             pairs = now.join(other, "key").filter("comp <> b_comp")
         elif rest is not None:
-            return merged(comps, stored(rest(now), "links"))
+            return merged(comps, rest(now))
         else:
             other = now.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("sig").alias("b_sig"))
             pairs = now.join(other, "key").filter("comp < b_comp")
         if near is not None:
             pairs = pairs.filter(near(F.col("sig"), F.col("b_sig")))
         pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = stored(pairs.join(done, ["a", "b"], "left_anti") if turn else pairs, "pairs")
-        if not pairs.limit(1).count():
-            continue
-        done = done.unionByName(pairs)
-        comps = merged(comps, stored(verify(pairs), "links"))
+        pairs, n = stored_and(pairs.join(done, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        if n:
+            done = done.unionByName(pairs)
+            comps = merged(comps, verify(pairs))
     return comps
 
 
 def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components after ``links`` are added: links are drawn between components first, so each round is as small as what
     it changes."""
-    if not links.limit(1).count():
+    links, n = stored_and(links, "links")
+    if not n:
         return comps
     own = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
     drawn = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
