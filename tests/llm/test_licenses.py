@@ -7,7 +7,7 @@ def test_places_labels(spark):
         (1, "Released under the MIT License."),
         (2, "mit\nlicense and APACHE - License; general public license"),
         (3, "summit license, mit licenses"),
-        (4, "Redistribution and use in source or binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+        (4, "Redistribution and use in source and binary forms, with or without modification, are allowed provided that the following conditions are met:"),
         (5, None),
         (6, ""),
         (7, "All rights\treserved"),
