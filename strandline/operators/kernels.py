@@ -395,8 +395,8 @@ def run_kernels(insns: DataFrame, names: tuple[str, ...] = tuple(KERNELS)) -> Da
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
         code = [parse(t if isinstance(t, str) else "", int(p), int(z)) for t, p, z in zip(pdf.instruction, pdf.pc.fillna(0), pdf["size"].fillna(0), strict=True)]
-        rows = [(name, str(x)) for name in names for x in KERNELS[name](code)]
-        return pd.DataFrame({"target_id": pdf.target_id.iloc[0], "function": pdf.function.iloc[0], "tag": [r[0] for r in rows], "evidence": [r[1] for r in rows]})
+        rows = [(pdf.target_id.iloc[0], pdf.function.iloc[0], name, str(x)) for name in names for x in KERNELS[name](code)]
+        return pd.DataFrame(rows, columns=["target_id", "function", "tag", "evidence"], dtype=object)
 
     kept = insns.filter("function not in ('.plt', '.plt.sec')").select("target_id", "function", "seq", "pc", "size", "instruction")
     return kept.groupBy("target_id", "function").applyInPandas(one, "target_id string, function string, tag string, evidence string")

@@ -140,7 +140,7 @@ def elf_sections(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows = [(p, *s) for p, c in zip(pdf.path, pdf.content, strict=True) for s in parse_sections(bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "ord", "name", "vma", "size", "file_off"])
+            yield pd.DataFrame(rows, columns=["path", "ord", "name", "vma", "size", "file_off"], dtype=object)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, ord int, name string, vma bigint, size bigint, file_off bigint")
@@ -160,7 +160,7 @@ def c_functions(spark: SparkSession, path: str, skip: tuple[str, ...] = ("test",
     def run(batches):
         for pdf in batches:
             rows = [(p, *f) for p, t in zip(pdf.path, pdf.value, strict=True) for f in kernels.c_functions(t)]
-            yield pd.DataFrame(rows, columns=["path", "function", "first_line", "last_line", "body"])
+            yield pd.DataFrame(rows, columns=["path", "function", "first_line", "last_line", "body"], dtype=object)
 
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.c").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     files = files.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skip))))
