@@ -7,7 +7,7 @@ around the Jaccard similarity. R coordinates make a band; texts that share a ban
 
 Texts with equal shingle sets are one node from the start. Within a band's bucket members are not paired with each other
 but with a few representatives; links found make components, and only pairs of a bucket that are in different components
-are then compared: in a round with new representatives, and what is left in blocks of sets against blocks of sets, from
+are then compared, in blocks of sets against blocks of sets, from
 which only links come out. So no link between components is lost, and no task holds a group.
 """
 
@@ -237,7 +237,7 @@ def links(docs: DataFrame, width: int, percent: int = 80, id_col: str = "doc_id"
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     members = stored(shared.join(weight, "node").select("key", "band", "node", F.lit(0).alias("sig"), "weight"), "members")
     sets = stored(_sets(docs, weight.select(F.col("node").alias("id")), width, id_col, text_col), "sets")
-    comps = bucket_components(members, lambda pairs: _verified(pairs, sets, percent), rest=lambda now: _between(now, sets, percent))
+    comps = bucket_components(members, lambda pairs: _verified(pairs, sets, percent), rest=lambda now: _between(now, sets, percent), rounds=1)
     return found.join(classes.select("set_key", "node"), "set_key", "left"), comps
 
 
