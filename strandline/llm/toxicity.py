@@ -101,7 +101,7 @@ class Trees:
         self.rounds, self.depth, self.rate, self.bins, self.l2, self.least = rounds, depth, rate, bins, l2, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         binned = np.stack([np.searchsorted(q, c, side="left") for q, c in zip(cuts, x.T, strict=True)], axis=1)
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
