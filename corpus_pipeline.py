@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts. A document that loses all its words goes, as they stand elsewhere; the
     number of characters is counted anew."""
-    found = lines.dedup_lines(docs)
+    found = lines.dedup_lines(docs, k=None)
     found = found.filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD_CHAR))
     return found.select(*(F.coalesce(F.length("text"), F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 

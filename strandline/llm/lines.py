@@ -4,6 +4,10 @@ Lines are normalised to their words. Equal ones are one node by their 64-bit has
 Each node has a 64-bit SimHash of its words; two nodes are candidates if at most K bits differ. By the pigeonhole
 principle they then agree on at least B - K of B blocks, so all choices of B - K blocks are the join keys, and none is
 missed. Candidates are verified by edit similarity over words, and one occurrence of each connected group is kept.
+
+Without a SimHash condition (``k`` None, as in op8_lines and the pipeline) edit similarity alone links: a line that t edits
+are allowed in is cut into t + 1 segments, one of which any line within t edits holds unchanged, so a segment as a run of
+words is the join key and no link is missed.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ SIMILARITY = 0.8
 #: Tables of repeated lines or of candidates up to so many rows are broadcast, after they have been counted.
 BROADCAST_ROWS = 400_000
 _LANES = 0x0101010101010101
+#: Hashes of shared runs up to so many (8 bytes and a count each) are broadcast, after they have been counted.
+RUN_ROWS = 3_000_000
+#: Runs of words in more rows than these are met by cells of length and place.
+HOT_ROWS = 64
 _CHUNK = 127  # words that a lane of eight bits can count without touching the sign
 
 
@@ -67,8 +75,91 @@ def _signed(x: int) -> int:
 
 def _coded(w: Column) -> Column:
     """Words as one character each (20,000 kinds by hash), so that edits of words are edits of characters."""
-    hexed = F.array_join(F.transform(w, lambda x: F.hex(F.pmod(F.xxhash64(x, F.lit(8)), F.lit(20_000)) + 0x4E00)), "")
-    return F.decode(F.unhex(hexed), "UTF-16BE")
+    return _characters(_codes(w))
+
+
+def _codes(w: Column) -> Column:
+    return F.transform(w, lambda x: (F.pmod(F.xxhash64(x, F.lit(8)), F.lit(20_000)) + 0x4E00).cast("int"))
+
+
+def _characters(codes: Column) -> Column:
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda x: F.hex(x)), "")), "UTF-16BE")
+
+
+def _verifier(texts: DataFrame, similarity: float):
+    """Those pairs (a, b) whose ``texts`` (node, coded) have at least the edit similarity."""
+
+    def verify(pairs):
+        met = pairs.join(texts.select(F.col("node").alias("a"), F.col("coded").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("coded").alias("y")), "b")
+        longest = "greatest(length(x), length(y))"
+        most = f"cast(floor((1 - {similarity}) * {longest} + 1e-9) as int)"
+        return met.filter(f"abs(length(x) - length(y)) <= {most}").filter(f"levenshtein(x, y, {most}) between 0 and {most}").select("a", "b")
+
+    return verify
+
+
+def edits_allowed(n: int, similarity: float) -> int:
+    return int((1 - similarity) * n + 1e-9)
+
+
+def run_widths(similarity: float, most: int = 400) -> list[tuple[int, list[int]]]:
+    """(words from which on, widths of runs) that a line must offer: those of the segments of every line as long or longer
+    that it can be linked with. Widths stay as they are at the end of the list."""
+    width = lambda n: n // (edits_allowed(n, similarity) + 1)
+    out: list[tuple[int, list[int]]] = []
+    for n in range(1, most):
+        longer = [m for m in range(n, int(n / similarity) + 2) if m - edits_allowed(m, similarity) <= n]
+        asked = sorted({width(m) for m in longer if edits_allowed(m, similarity)})
+        if not out or out[-1][1] != asked:
+            out.append((n, asked))
+    return out
+
+
+def edit_groups(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, comp): connected groups of distinct lines (key, codes) by edit similarity alone, none missed; lines without a
+    link are left out.
+
+    The longer line of a pair has t + 1 segments, the other every run of their width; an unchanged segment stands in both,
+    and what its places differ by, before and after it, are edits too.
+    """
+    allowed = lambda n: F.floor((1 - similarity) * n + 1e-9)
+    n = F.size("codes")
+    widths, most = F.array().cast("array<int>"), max((q for _, asked in run_widths(similarity) for q in asked), default=1)
+    for start, asked in run_widths(similarity):
+        widths = F.when(n >= start, F.array(*map(F.lit, asked)).cast("array<int>")).otherwise(widths)
+    wide = nodes.select(F.col("key").alias("node"), "codes", n.alias("n"), F.explode(widths).alias("q")).filter("q > 0 and n >= q")
+    own = F.floor(F.col("n") / (allowed(F.col("n")) + 1))
+    is_segment = lambda at: (F.col("q") == own) & (at % F.col("q") == 0) & (at / F.col("q") <= allowed(F.col("n"))) & (allowed(F.col("n")) > 0)
+    runs = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("q")), lambda i: F.xxhash64(F.col("q"), *(F.when(F.col("q") > j, F.get("codes", i + j)) for j in range(most))))
+    keyed = wide.select("node", "n", "q", F.posexplode(runs).alias("at", "key"))
+    # length, place and whether it is a segment, in one number
+    sig = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at") * 2 + is_segment(F.col("at")).cast("int")
+    keyed = keyed.select("key", "node", sig.alias("sig"))
+    # which runs stand in two places, one of them a segment: counted by 40 bits of the hash, so that little is shuffled
+    slot = F.shiftrightunsigned("key", 24)
+    counted = keyed.select(slot.alias("slot"), (F.col("sig") % 2 * (1 << 40) + 1).alias("one")).groupBy("slot").agg(F.sum("one").alias("rows"))
+    full = counted.filter(f"rows > {1 << 40} and rows % {1 << 40} > 1").select("slot", (F.col("rows") % (1 << 40)).alias("rows"))
+    full = stored(full, "line-runs")
+    met = stored(keyed.withColumn("slot", slot).join(small(full, RUN_ROWS), "slot").drop("slot"), "line-met")
+    # lines that can be linked are of the same or the next cell of length, and their places of the same or the next cell
+    length, place = F.shiftright("sig", 32), F.shiftright(F.col("sig").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    base = 1.0001 / similarity
+    cell = F.floor(F.log(length.cast("double")) / F.log(F.lit(base)))
+    hot = met.filter(F.col("rows") > HOT_ROWS).withColumn("c", F.explode(F.array(cell, cell + 1)))
+    at_cell = F.floor(place / (F.lit(1 - similarity) * F.pow(F.lit(base), F.col("c") + 1) + 2))
+    hot = hot.withColumn("d", F.explode(F.array(at_cell, at_cell + 1))).withColumn("key", F.xxhash64("key", "c", "d"))
+    cold = met.filter(F.col("rows") <= HOT_ROWS)
+    members = cold.select("key", "node", "sig").unionByName(hot.select("key", "node", "sig"))
+    members = stored(members.select("key", F.pmod("key", F.lit(4)).cast("int").alias("band"), "node", "sig", F.lit(0).alias("weight")), "line-members")
+    texts = stored(nodes.select(F.col("key").alias("node"), "codes").join(members.select("node").distinct(), "node", "left_semi").select("node", _characters(F.col("codes")).alias("coded")), "line-texts")
+
+    def near(a, b):
+        la, lb = F.shiftright(a, 32), F.shiftright(b, 32)
+        pa, pb = (F.shiftright(x.bitwiseAND(F.lit((1 << 32) - 1)), 1) for x in (a, b))
+        within = F.abs(pa - pb) + F.abs((la - pa) - (lb - pb)) <= allowed(F.greatest(la, lb))
+        return within & (((la >= lb) & (a % 2 == 1)) | ((lb >= la) & (b % 2 == 1)))
+
+    return bucket_components(members, _verifier(texts, similarity), near)
 
 
 def fuzzy_groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,36 +182,33 @@ def fuzzy_groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARI
     texts = lines.join(small(wanted, BROADCAST_ROWS), "node", "left_semi").select("node", _coded(F.col("w")).alias("coded"))
     texts = stored(texts.groupBy("node").agg(F.first("coded").alias("coded")), "line-texts")
 
-    def verify(pairs):
-        met = pairs.join(texts.select(F.col("node").alias("a"), F.col("coded").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("coded").alias("y")), "b")
-        longest = "greatest(length(x), length(y))"
-        most = f"cast(floor((1 - {similarity}) * {longest} + 1e-9) as int)"
-        return met.filter(f"abs(length(x) - length(y)) <= {most}").filter(f"levenshtein(x, y, {most}) between 0 and {most}").select("a", "b")
-
-    return bucket_components(stored(members.join(wanted, "node", "left_semi"), "line-members"), verify, near)
+    return bucket_components(stored(members.join(wanted, "node", "left_semi"), "line-members"), _verifier(texts, similarity), near)
 
 
-def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, k: int | None = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, drops): for each text that loses lines their numbers."""
-    occurrences = split_lines(docs, id_col, text_col).select("id", "row", "at", line_key(F.col("w")).alias("key"), simhash(F.col("w")).alias("sig"))
+    what = _codes(F.col("w")).alias("codes") if k is None else simhash(F.col("w")).alias("sig")
+    occurrences = split_lines(docs, id_col, text_col).select("id", "row", "at", line_key(F.col("w")).alias("key"), what)
     occurrences = stored(occurrences, "lines")
+    held = "sig" if k is not None else "codes"
     place = F.struct("id", "row", "at")
-    nodes = stored(occurrences.groupBy("key").agg(F.first("sig").alias("sig"), F.min(place).alias("first"), F.count("*").alias("n")), "line-nodes")
-    comps = fuzzy_groups(docs, nodes.select("key", "sig"), similarity, k, id_col, text_col)
-    grouped = nodes.join(comps.withColumnRenamed("node", "key"), "key", "left").filter("comp is not null or n > 1").withColumn("comp", F.coalesce("comp", "key"))
+    nodes = stored(occurrences.groupBy("key").agg(F.first(held).alias(held), F.min(place).alias("first"), F.count("*").alias("n")), "line-nodes")
+    comps = edit_groups(nodes.select("key", "codes"), similarity) if k is None else fuzzy_groups(docs, nodes.select("key", "sig"), similarity, k, id_col, text_col)
+    grouped = nodes.drop(held).join(comps.withColumnRenamed("node", "key"), "key", "left").filter("comp is not null or n > 1").withColumn("comp", F.coalesce("comp", "key"))
     keepers = grouped.groupBy("comp").agg(F.min("first").alias("keeper"))
     marked = stored(grouped.join(keepers, "comp").select("key", "keeper"), "line-groups")
-    dropped = occurrences.join(small(marked, BROADCAST_ROWS), "key").filter(~place.eqNullSafe(F.col("keeper")))
+    dropped = occurrences.drop(held).join(small(marked, BROADCAST_ROWS), "key").filter(~place.eqNullSafe(F.col("keeper")))
     return stored(dropped.groupBy("id", "row").agg(F.collect_set("at").alias("drops")), "line-drops")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, k: int | None = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated lines taken out of the text, and n_lines and n_dropped (bigint; replaced if the
     input has columns of these names).
 
     Lines are what stands between line feeds. Those without a word are kept. Of each group of equal or linked lines the
     occurrence in the smallest (id, text hash, line number) is kept; a null id comes first. Linked: SimHashes of words
-    that differ in at most ``k`` of 64 bits, and 1 - edits / words of the longer at least ``similarity``. Rows that
+    that differ in at most ``k`` of 64 bits (with ``k`` None any), and 1 - edits / words of the longer at least
+    ``similarity``. Rows that
     repeat id and text are one occurrence and lose the same lines. Null texts stay null, empty texts empty, and an empty
     table has no rows.
     """

@@ -72,7 +72,7 @@ def op7_neardup(spark, sf_dir):
 
 def op8_lines(spark, sf_dir):
     """Every text without repeated lines: how many it had and lost, and a digest of what is left."""
-    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"), k=None)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -78,3 +78,27 @@ def test_odd_rows(spark, odd, none):
     assert L.dedup_lines(none).count() == 0
     hashed = spark.createDataFrame([(["a"] * 300 + ["b"] * 299,)], "w array<string>").select(L.simhash(F.col("w"))).first()[0]
     assert hashed & (2**64 - 1) == simhash(["a"] * 300 + ["b"] * 299)
+
+
+def test_edit_similarity_alone(spark, monkeypatch):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(300)]
+    lines = []
+    for n in (4, 5, 6, 9, 10, 14, 20, 33, 60):
+        base = rng.choices(vocab, k=n)
+        lines.append(base)
+        for edits_made in range(1, n // 5 + 2):  # up to one edit too many
+            w = list(base)
+            for _ in range(edits_made):
+                at, kind = rng.randrange(len(w)), rng.random()
+                w[at : at + (kind < 0.7)] = [rng.choice(vocab)] * (kind < 0.5 or kind >= 0.7)
+            lines.append(w)
+    rows = [(d, " ".join(w)) for d, w in enumerate(lines)]
+    monkeypatch.setattr(L, "HOT_ROWS", 3)
+    monkeypatch.setitem(globals(), "simhash", lambda words: 0)  # brute() without a SimHash condition
+    want, fuzzy = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in L.dedup_lines(docs, k=None).collect()}
+    assert fuzzy and got == want
+    tight = {r.doc_id: r.text for r in L.dedup_lines(docs).collect()}
+    assert sum(x == "" for x in tight.values()) < sum(x == "" for x in got.values())
