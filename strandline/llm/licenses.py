@@ -3,7 +3,8 @@
 Tokens are ordered by their frequency in the whole corpus, rarest first. A block that holds the share ``threshold`` of a
 template's distinct tokens must hold one of the template's rarest ones (its prefix), must have enough distinct tokens
 (length), and from where the first shared token stands in the order must still be able to reach the share (position).
-Blocks that pass are counted in full, so the join is exact.
+Blocks that pass are counted in full, so the join is exact. Blocks are single lines, and for text that is wrapped every run of
+as many words as the template has, across line feeds.
 """
 
 from __future__ import annotations
@@ -59,11 +60,11 @@ def frequencies(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) ->
     return dict.fromkeys(asked, 0) | {r["token"]: r["n"] for r in counted.collect()}
 
 
-def join_templates(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, block, template, label, containment): each text block (line) that holds at least ``threshold`` of a
-    template's distinct tokens. ``row`` numbers the rows of ``docs`` by value of id and text, so equal rows share it."""
+def _asked(docs: DataFrame, threshold: float, templates, id_col: str, text_col: str, seen: dict[str, int] | None) -> tuple[DataFrame, DataFrame, int, str]:
+    """(id, row, text) of texts with a token of some prefix; the templates' tokens; the fewest that a block needs; the
+    pattern of those prefix tokens."""
     spark = docs.sparkSession
-    seen = frequencies(docs, text_col, templates)
+    seen = seen or frequencies(docs, text_col, templates)
     order = {w: k for k, w in enumerate(sorted(seen, key=lambda w: (seen[w], w)))}
     sets = [(n, label, sorted({order[w] for w in _template_words(t)})) for n, (label, t) in enumerate(templates)]
     least = {n: math.ceil(threshold * len(s) - 1e-9) for n, _, s in sets}
@@ -73,7 +74,30 @@ def join_templates(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMP
     asked = spark.createDataFrame([(n, label, k, names[k], at, len(s), least[n], at < len(s) - least[n] + 1) for n, label, s in sets for at, k in enumerate(s)], "template int, label string, rank int, token string, place int, size int, least int, prefix boolean")
     pattern = f"(?<!{WORD_CHAR})(?i:" + "|".join(map(re.escape, prefix)) + f")(?!{WORD_CHAR})"
     # prefix and length filters: only blocks with a token of some prefix, and enough distinct tokens, are taken apart
-    held = docs.filter(F.col(text_col).rlike(pattern)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("block", "line"))
+    held = docs.filter(F.col(text_col).rlike(pattern)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    return held, asked, shortest, pattern
+
+
+def join_windows(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", seen: dict[str, int] | None = None) -> DataFrame:
+    """(row, id, template, label, containment): of each text and template the fullest run of as many words as the template
+    has, wherever lines end, if it holds at least ``threshold`` of the template's distinct tokens."""
+    held, asked, _, _ = _asked(docs, threshold, templates, id_col, text_col, seen)
+    lengths = F.array(*(F.lit(len(_template_words(t))) for _, t in templates))
+    tokens = held.filter(F.col("text").contains("\n")).select("id", "row", F.posexplode(words(F.col("text"))).alias("at", "token"))
+    met = tokens.join(F.broadcast(asked.withColumn("length", F.get(lengths, F.col("template")))), "token")
+    met = met.groupBy("id", "row", "template", "label", "size", "least", "length").agg(F.array_sort(F.collect_set(F.struct("at", "place"))).alias("found"), F.max("prefix").alias("prefix"))
+    met = met.filter("prefix and size(found) >= least").filter(F.size(F.array_distinct("found.place")) >= F.col("least"))
+    # a run may as well start with a token that counts; no more of them than its words stand in it
+    held_from = lambda x, i: F.size(F.array_distinct(F.transform(F.filter(F.slice("found", i + 1, F.col("length")), lambda y: y["at"] < x["at"] + F.col("length")), lambda y: y["place"])))
+    best = met.withColumn("n", F.array_max(F.transform("found", held_from))).filter("n >= least")
+    return best.select("row", "id", "template", "label", (F.col("n") / F.col("size")).alias("containment"))
+
+
+def join_templates(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", seen: dict[str, int] | None = None) -> DataFrame:
+    """(row, id, block, template, label, containment): each text block (line) that holds at least ``threshold`` of a
+    template's distinct tokens. ``row`` numbers the rows of ``docs`` by value of id and text, so equal rows share it."""
+    held, asked, shortest, pattern = _asked(docs, threshold, templates, id_col, text_col, seen)
+    held = held.select("id", "row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
     held = held.filter(F.col("line").rlike(pattern)).withColumn("tokens", F.array_distinct(words(F.col("line")))).filter(F.size("tokens") >= shortest)
     tokens = held.select("id", "row", "block", F.size("tokens").alias("distinct"), F.explode("tokens").alias("token"))
     shared = tokens.join(F.broadcast(asked), "token").filter("distinct >= least")
@@ -84,14 +108,17 @@ def join_templates(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMP
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The licenses of each document: (id, n_words, places, base_labels, labels, score).
+    """The licenses of each document: (id, n_words, places, base_labels, labels, score), by lines and by runs of words that
+    go over line ends.
 
     ``places`` are the word numbers where base phrases start, ascending; ``base_labels`` and ``labels`` (those of
     templates too) are sorted arrays; ``score`` is the largest containment, 1 where a base phrase stands, else 0. Null
     and empty texts have no words, places or labels. Rows that repeat an id and text each get the same result; null ids
     stay null and are labelled like others; an empty table gives no rows; other columns are not looked at.
     """
-    found = join_templates(docs, threshold, templates, id_col, text_col)
+    seen = frequencies(docs, text_col, templates)
+    found = join_templates(docs, threshold, templates, id_col, text_col, seen).drop("block")
+    found = found.unionByName(join_windows(docs, threshold, templates, id_col, text_col, seen))
     by_row = stored(found.groupBy("id", "row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment")), "licenses")
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_words = F.size(F.array_remove(F.split(text, GAP.replace("\\x60", "\\x60").replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60")), ""))

@@ -37,3 +37,16 @@ def test_odd_rows(spark, odd, none):
     got = L.scan(odd).collect()
     assert len(got) == odd.count() and L.scan(none).count() == 0
     assert max(r.n_words for r in got) == 5000
+
+
+def test_wrapped_texts(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "/*\n * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files (the Software), to deal\n */"
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0. If a copy"
+    lgpl = "dnl This library is free software; you can redistribute it\ndnl and/or modify it under the terms of the GNU Lesser\ndnl General Public License"
+    far = bsd.replace("\n", "\n" + "filler " * 12 + "\n")
+    rows = [(1, "x\n" + bsd), (2, mit), (3, mpl), (4, lgpl), (5, far), (6, "all of it\nis right and reserved"), (7, "ALL RIGHTS\nRESERVED"), (1, "x\n" + bsd), (None, bsd)]
+    got = [(r.doc_id, r.labels, r.score) for r in L.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    by = {d: labels for d, labels, _ in got}
+    assert by == {1: ["bsd"], 2: ["mit"], 3: ["mpl"], 4: ["gpl", "lgpl"], 5: [], 6: [], 7: ["all-rights-reserved"], None: ["bsd"]}
+    assert [s for d, _, s in got if d in (1, None)] == [1.0] * 3
