@@ -2,7 +2,8 @@
 
 Every source s gets the rate  target share x total characters / its own characters  (times ``epochs``). Each document
 draws its number of copies by inverting the Poisson distribution of that rate at a uniform number hashed from its id and
-the seed, is exploded by that number, and the copies are dealt out in the order of a second hash.
+the seed, is exploded by that number, and the copies are dealt out in the order of a second hash. Rates beyond MAX_RATE are
+drawn in equal parts of at most that, each at a number of its own: the sum of Poisson draws is one of the summed rate.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 20
-#: A source is repeated at most so many times on average: the documented bound on up-sampling of a tiny source.
+#: The largest rate that is drawn at once; mix_sql() has no draws beyond the first.
 MAX_RATE = 16.0
 #: Beyond this count the Poisson tail of MAX_RATE is below 2**-53, the grain of the uniform numbers.
 MAX_COPIES = 80
@@ -39,7 +40,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         return size.select("source", F.lit(0.0).alias("rate"))
     rate = F.col("weight") / F.lit(float(all_weight)) * F.lit(float(all_chars)) / F.col("chars") * F.lit(float(epochs))
     rate = F.when(F.col("chars") > 0, rate).otherwise(F.when(F.col("weight") > 0, 1.0).otherwise(0.0))
-    return size.select("source", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
+    return size.select("source", rate.alias("rate"))
 
 
 def _ladder(rate):
@@ -61,10 +62,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     alike; null and empty texts count no characters but are drawn like others; an empty table stays empty.
     """
     own = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    steps = rates(docs, weights, epochs).select(F.col("source").alias("__sl_source"), _ladder(F.col("rate")).alias("__sl_steps"))
+    parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    steps = rates(docs, weights, epochs).withColumn("parts", parts)
+    steps = steps.select(F.col("source").alias("__sl_source"), _ladder(F.col("rate") / F.col("parts")).alias("__sl_steps"), F.col("parts").alias("__sl_parts"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     held = docs.select(*own, F.coalesce(F.col("source"), F.lit("")).alias("__sl_source"), _uniform(F.concat(key, F.lit(f":{seed}:copies"))).alias("__sl_u"))
-    n = F.size(F.filter("__sl_steps", lambda c: c <= F.col("__sl_u")))
+    count = lambda u: F.size(F.filter("__sl_steps", lambda c: c <= u))
+    further = F.transform(F.sequence(F.lit(1), F.col("__sl_parts") - 1), lambda k: count(_uniform(F.concat(key, F.lit(f":{seed}:copies:"), k.cast("string")))))
+    n = count(F.col("__sl_u")) + F.when(F.col("__sl_parts") > 1, F.aggregate(further, F.lit(0), lambda a, x: a + x)).otherwise(0)
     dealt = held.join(steps, "__sl_source").withColumn("__sl_n", n).filter("__sl_n > 0")
     dealt = dealt.select(*own, F.explode(F.sequence(F.lit(1), F.col("__sl_n"))).alias("copy_no"))
     place = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}:"), F.col("copy_no").cast("string"))), 1, 13), 16, 10).cast("bigint")

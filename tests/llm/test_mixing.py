@@ -29,3 +29,13 @@ def test_odd_rows(spark, odd, none):
     out = M.mix(odd, epochs=3.0)
     assert set(odd.columns) <= set(out.columns) and out.columns.count("copy_no") == 1
     assert M.mix(none).count() == 0
+
+
+def test_tiny_source_is_not_cut(spark):
+    docs = spark.range(40_200).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") < 200, "tiny").otherwise("big").alias("source"))
+    assert abs({r.source: r.rate for r in M.rates(docs).collect()}["tiny"] - 100.5) < 1e-9
+    out = M.mix(docs, ordered=False).filter("source = 'tiny'").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.max("copy_no").alias("m"))
+    got = out.collect()
+    assert len(got) == 200 and all(r.n == r.d == r.m for r in got)
+    mean = sum(r.n for r in got) / 200
+    assert abs(mean - 100.5) < 3 and 60 < sum((r.n - mean) ** 2 for r in got) / 199 < 150
