@@ -51,8 +51,10 @@ def word_hashes(text: str | None) -> np.ndarray:
     fresh = np.concatenate([[True], np.diff(inside) > 1])
     first = np.flatnonzero(fresh)
     place = np.arange(len(inside)) - np.repeat(first, np.diff(np.append(first, len(inside))))
-    # a byte's weight depends on its place in the word; beyond the table the place itself is hashed
-    weight = _POWERS[place] if len(inside) and place.max() < len(_POWERS) else _mix(place.astype(np.uint64) * _PRIME + np.uint64(1)) | np.uint64(1)
+    # a byte's weight depends on its place in the word alone; the table is carried on for the places beyond it
+    longest = int(place.max()) + 1
+    powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, _PRIME | np.uint64(1), np.uint64))
+    weight = powers[place]
     total = np.add.reduceat((b[inside].astype(np.uint64) + np.uint64(1)) * weight, first)
     return _mix(total + np.diff(np.append(first, len(inside))).astype(np.uint64) * _PRIME)
 

@@ -87,3 +87,12 @@ def test_odd_rows(spark, odd, none):
     by = {r.doc_id: r for r in got}
     assert by[4].component_id == 1 and not by[4].kept and by[1].kept and by[3].kept and by[None].kept
     assert N.near_duplicates(none).count() == 0
+
+
+def test_a_long_word_changes_its_own_shingles_alone(spark):
+    words = [f"w{k}x" for k in range(300)]
+    plain, blob = " ".join(words), " ".join([*words[:150], "y" * 5000, *words[150:]])
+    a, b = (set(N.shingles(t, 4).tolist()) for t in (plain, blob))
+    assert len(a & b) == 294
+    rows = spark.createDataFrame([(1, plain), (2, blob)], "doc_id bigint, text string")
+    assert {r.component_id for r in N.near_duplicates(rows, 4).collect()} == {1}
