@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from strandline.functions import dimensions as D
@@ -29,16 +31,19 @@ def taint_kernels(spark, sf_dir):
     return kernels.run_kernels(_program(spark, sf_dir))
 
 
-FEATURES = [f"name_{k}" for k in D.NAME_KEYWORDS[:8]] + ["n_words", "n_lines", "n_digits", "n_marks"]
+FEATURES = [f"name_{k}" for k in D.NAME_KEYWORDS] + ["n_words", "n_lines", "n_digits", "n_marks"]
 
 
 @query("gbt_train_score")
 def gbt_train_score(spark, sf_dir):
-    """Boosted trees on text measures, scored out of fold and summed up as a confusion matrix."""
+    """Boosted trees (300 rounds, depth 5) on all keyword flags and text measures, scored out of five folds and summed up as a confusion matrix."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     text = F.coalesce("text", F.lit(""))
     measures = [F.size(F.split(text, " ")).alias("n_words"), F.size(F.split(text, "\n")).alias("n_lines"), F.length(F.regexp_replace(text, "[^0-9]", "")).alias("n_digits"), F.length(F.regexp_replace(text, "[^!?.,]", "")).alias("n_marks")]
-    rows = docs.select("doc_id", F.col("quality").alias("y"), *S.keyword_flags(text, D.NAME_KEYWORDS[:8], "name_"), *measures)
-    rows = E.stratified_folds(rows, "y", "doc_id", folds=2).repartition(4).cache()
-    scored = boost.out_of_fold(rows, FEATURES, "fold", rounds=5, depth=3)
+    rows = docs.select("doc_id", F.col("quality").alias("y"), *S.keyword_flags(text, D.NAME_KEYWORDS, "name_"), *measures)
+    rows = E.stratified_folds(rows, "y", "doc_id").repartition(4).cache()
+    context = spark.sparkContext
+    if context.master.startswith("local[") and not context.getCheckpointDir():  # 300 rounds are too long a lineage
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
+    scored = boost.out_of_fold(rows, FEATURES, "fold")
     return E.confusion(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")))

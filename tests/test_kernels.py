@@ -83,3 +83,20 @@ def test_run_kernels(spark):
     df = spark.createDataFrame(rows, "target_id string, function string, seq bigint, pc bigint, size int, instruction string")
     got = K.run_kernels(df, ("samefunc",)).collect()
     assert [(r.function, r.tag, r.evidence) for r in got] == [("f", "samefunc", "rbp-64")]
+
+
+def test_gbt_query_is_the_whole_job(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandline.functions import dimensions
+    from strandline.plans import kernels as plans
+
+    asked = {}
+
+    def scored(df, order, fold, **how):
+        asked.update(order=order, folds=df.select(fold).distinct().count(), how=how)
+        return df.withColumn("score", F.lit(0.0))
+
+    monkeypatch.setattr(plans.boost, "out_of_fold", scored)
+    plans.gbt_train_score(spark, "/root/testdata/sf0.001").collect()
+    assert len(asked["order"]) == len(dimensions.NAME_KEYWORDS) + 4 == 34 and asked["folds"] == 5 and not asked["how"]
