@@ -6,6 +6,7 @@ A kernel is a pure function from the ordered instructions of a function (and sma
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -380,26 +381,120 @@ KERNELS: dict[str, Callable[[list[Insn]], list]] = {
     "send_offsets": send_offsets,
     "registrar": registrar,
     "resolver": resolver,
-    "fd_arg": lambda code: passes_descriptor(code, frozenset(), frozenset(D.FD_WRITE.split())),
     "path_provenance": lambda code: [(k, n) for k, n in path_provenance(code).items() if n],
 }
 
 
-def run_kernels(insns: DataFrame, names: tuple[str, ...] = tuple(KERNELS)) -> DataFrame:
+#: Rows of a thin open wrapper at most; calls down to a read or a write; calls up from a mount writer.
+WRAPPER_SIZE, HELPER_DEPTH, QUEUE_DEPTH = 60, 3, 2
+
+
+def facts(code: list[Insn]) -> dict:
+    """What a program's summary asks of one function."""
+    opens = [at for at, i in enumerate(code) if i.callee in D.OPEN_FAMILY.split()]
+    stores = {m[1] for i in code if i.op == "mov" and len(i.args) == 2 and (m := memory(i.args[0])) and m[0] not in ("rbp", "rsp") and m[1] > 0}
+    return {
+        "calls": sorted({i.callee for i in code if i.callee}), "size": len(code), "reads": any(open_direction(code, at) == "read" for at in opens),
+        "registrar": registrar(code), "resolver": resolver(code), "mounts": mount_offsets(code), "sends": send_offsets(code), "stores": sorted(stores),
+    }
+
+
+def _callers(calls: dict[str, set], seed: set[str], depth: int) -> set[str]:
+    """Functions that reach one of ``seed`` by at most ``depth`` calls, with ``seed``."""
+    found, edge = set(seed), set(seed)
+    for _ in range(depth):
+        edge = {f for f, c in calls.items() if c & edge} - found
+        found |= edge
+    return found
+
+
+def summary(program: dict[str, dict]) -> dict:
+    """Read wrappers, transfer helpers, tables and offsets of a program from the facts of its functions."""
+    calls = {f: set(x["calls"]) for f, x in program.items()}
+    opening = set(D.OPEN_FAMILY.split())
+    wrappers: set[str] = set()
+    while new := {f for f, x in program.items() if x["size"] <= WRAPPER_SIZE and calls[f] & (opening | wrappers)} - wrappers:
+        wrappers |= new
+    # a wrapper reads if it opens for reading or calls one that does; those that only call each other read too
+    reading = {f for f in wrappers if program[f]["reads"]}
+    while new := {f for f in wrappers if calls[f] & reading} - reading:
+        reading |= new
+    idle = {f for f in wrappers if not calls[f] & opening}
+    while gone := {f for f in idle if calls[f] & wrappers - idle - {f}}:
+        idle -= gone
+    reading |= idle
+    direct = lambda prims: {f for f, c in calls.items() if c & set(prims)}
+    readers, writers = (_callers(calls, direct(x), HELPER_DEPTH) for x in (D.FD_READ, D.FD_WRITE.split()))
+    tables = {(g, o) for x in program.values() for _, g, o in map(tuple, x["registrar"])} & {tuple(t) for x in program.values() for t in x["resolver"]}
+    mounts = {o for x in program.values() for o in x["mounts"]}
+    queue = _callers(calls, {f for f, x in program.items() if mounts & set(x["stores"])}, QUEUE_DEPTH) if mounts else set()
+    return {
+        "wrappers": sorted(reading), "helpers": sorted(readers & writers), "writers": sorted(writers), "queue": sorted(queue), "mounts": sorted(mounts),
+        "registrars": {f: n for f, x in program.items() for n, g, o in x["registrar"] if (g, o) in tables},
+        "resolvers": sorted(f for f, x in program.items() if any(tuple(t) in tables for t in x["resolver"])),
+        "offsets": sorted({o for x in program.values() for o in x["sends"]}),
+    }
+
+
+def fd_delegation(name: str, code: list[Insn], s: dict) -> list[tuple[str, list]]:
+    """the first of fd_arg (F5), fd_table (F9, or F10 in a function that reaches an external write) and fd_queue
+    (F5 into functions near a mount writer) that a function is, with what it calls."""
+    wrappers = frozenset(s["wrappers"])
+    if found := passes_descriptor(code, wrappers, frozenset(s["helpers"])):
+        return [("fd_arg", found)]
+    found = feeds(code, wrappers, s["registrars"])
+    if not found and name in s["writers"]:
+        found = drains(code, frozenset(s["resolvers"]))
+    if found:
+        return [("fd_table", found)]
+    found = passes_descriptor(code, wrappers, frozenset(s["queue"]))
+    return [("fd_queue", found)] if found else []
+
+
+#: Kernels that ask for the summary of the whole program: from name, code and summary to (tag, evidence).
+PROGRAM_KERNELS: dict[str, Callable[[str, list[Insn], dict], list]] = {
+    "crossbuf": lambda name, code, s: [("crossbuf", [n])] if (n := touches(code, frozenset(s["offsets"]), frozenset(D.CONTENT_READ))) else [],
+    "writes_send_buffer": lambda name, code, s: [("writes_send_buffer", [n])] if (n := touches(code, frozenset(s["offsets"]), frozenset(D.BUFFER_WRITERS.split()))) else [],
+    "mount_writer": lambda name, code, s: [("mount_writer", found)] if (found := stores_at(code, frozenset(s["mounts"]))) else [],
+    "fd_delegation": fd_delegation,
+}
+FINDINGS = "target_id string, function string, tag string, evidence string"
+
+
+def _code(pdf: pd.DataFrame) -> list[Insn]:
+    pdf = pdf.sort_values("seq", kind="stable")
+    return [parse(t if isinstance(t, str) else "", int(p), int(z)) for t, p, z in zip(pdf.instruction, pdf.pc.fillna(0), pdf["size"].fillna(0), strict=True)]
+
+
+def run_kernels(insns: DataFrame, names: tuple[str, ...] = (*KERNELS, *PROGRAM_KERNELS)) -> DataFrame:
     """(target_id, function, tag, evidence) of rows (target_id, function, seq, pc, size, instruction).
 
-    A group is one function, sorted in its task; pseudo-functions .plt are left out before the shuffle. Null texts count
-    as instructions without effect; an empty table gives no rows.
+    A group is one function, sorted in its task; pseudo-functions .plt are left out before the shuffle. Summaries of
+    programs come from facts of their functions, a row each, before the kernels that need them. Null texts count as
+    instructions without effect; an empty table gives no rows.
     """
+    alone, whole = [n for n in names if n in KERNELS], [n for n in names if n not in KERNELS]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        code = [parse(t if isinstance(t, str) else "", int(p), int(z)) for t, p, z in zip(pdf.instruction, pdf.pc.fillna(0), pdf["size"].fillna(0), strict=True)]
-        rows = [(pdf.target_id.iloc[0], pdf.function.iloc[0], name, str(x)) for name in names for x in KERNELS[name](code)]
+    def findings(pdf: pd.DataFrame, about: dict | None) -> pd.DataFrame:
+        code, target, function = _code(pdf), pdf.target_id.iloc[0], pdf.function.iloc[0]
+        rows = [(target, function, name, str(x)) for name in alone for x in KERNELS[name](code)]
+        rows += [(target, function, tag, str(x)) for name in whole for tag, xs in PROGRAM_KERNELS[name](function, code, about) for x in xs]
         return pd.DataFrame(rows, columns=["target_id", "function", "tag", "evidence"], dtype=object)
 
+    def fact(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf.target_id.iloc[0], pdf.function.iloc[0], json.dumps(facts(_code(pdf))))], columns=["target_id", "function", "facts"], dtype=object)
+
+    def about(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = json.dumps(summary({f: json.loads(x) for f, x in zip(pdf.function, pdf.facts, strict=True)}))
+        return pd.DataFrame({"target_id": pdf.target_id, "function": pdf.function, "about": found}, dtype=object)
+
     kept = insns.filter("function not in ('.plt', '.plt.sec')").select("target_id", "function", "seq", "pc", "size", "instruction")
-    return kept.groupBy("target_id", "function").applyInPandas(one, "target_id string, function string, tag string, evidence string")
+    functions = kept.groupBy("target_id", "function")
+    if not whole:
+        return functions.applyInPandas(lambda pdf: findings(pdf, None), FINDINGS)
+    programs = functions.applyInPandas(fact, "target_id string, function string, facts string").groupBy("target_id")
+    told = programs.applyInPandas(about, "target_id string, function string, about string").groupBy("target_id", "function")
+    return functions.cogroup(told).applyInPandas(lambda pdf, one: findings(pdf, json.loads(one.about.iloc[0])), FINDINGS)
 
 
 def strip_c(source: str) -> str:

@@ -100,3 +100,34 @@ def test_gbt_query_is_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(plans.boost, "out_of_fold", scored)
     plans.gbt_train_score(spark, "/root/testdata/sf0.001").collect()
     assert len(asked["order"]) == len(dimensions.NAME_KEYWORDS) + 4 == 34 and asked["folds"] == 5 and not asked["how"]
+
+
+PROGRAM = {
+    "open_it": "mov esi,0x0\ncall 1 <open@plt>",
+    "read_it": "call 1 <read@plt>",
+    "transfer": "call 1 <read_it>\ncall 2 <send@plt>",
+    "serve": "call 1 <open_it>\nmov edi,eax\ncall 2 <transfer>",
+    "upload": "call 1 <accept@plt>\nmov edi,eax\ncall 2 <transfer>",
+    "register": "mov rax,QWORD PTR [rip+0x1000]\nmov DWORD PTR [rax+0x8],edi",
+    "resolve": "mov rdx,QWORD PTR [rip+0x1000]\nmov eax,DWORD PTR [rdx+0x8]",
+    "feeder": "call 1 <open_it>\nmov edi,eax\ncall 2 <register>",
+    "drainer": "call 1 <resolve>\nmov edi,eax\ncall 2 <read@plt>\ncall 3 <send@plt>",
+    "flush": "mov esi,DWORD PTR [rbx+0x30]\ncall 1 <sendfile@plt>",
+    "append": "mov DWORD PTR [rdi+0x30],esi",
+    "queue": "call 1 <open_it>\nmov esi,eax\ncall 2 <append>",
+    "sender": "mov rsi,QWORD PTR [rbx+0x58]\ncall 1 <send@plt>",
+    "filler": "mov rsi,QWORD PTR [rbx+0x58]\ncall 1 <read@plt>",
+    "copier": "mov rdi,QWORD PTR [rbx+0x58]\ncall 1 <memcpy@plt>",
+}
+
+
+def test_program_kernels(spark):
+    rows = [("p", f, k, 8 * k, 8, t) for f, text in PROGRAM.items() for k, t in enumerate(text.splitlines())]
+    rows += [("q", f, k, 8 * k, 8, t) for f in ("serve", "queue") for k, t in enumerate(PROGRAM[f].splitlines())]
+    df = spark.createDataFrame(rows, "target_id string, function string, seq bigint, pc bigint, size int, instruction string")
+    got = {(r.target_id, r.function, r.tag) for r in K.run_kernels(df).collect()}
+    for want in (("serve", "fd_arg"), ("feeder", "fd_table"), ("drainer", "fd_table"), ("queue", "fd_queue"), ("append", "mount_writer"), ("filler", "crossbuf"), ("filler", "writes_send_buffer"), ("copier", "writes_send_buffer")):
+        assert ("p", *want) in got
+    fds = {(t, f, tag) for t, f, tag in got if tag in ("fd_arg", "fd_table", "fd_queue")}
+    assert fds == {("p", "serve", "fd_arg"), ("p", "feeder", "fd_table"), ("p", "drainer", "fd_table"), ("p", "queue", "fd_queue")}
+    assert ("p", "copier", "crossbuf") not in got
