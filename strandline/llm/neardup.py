@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bucket_components, components, small, stored
+from strandline.llm.common import bucket_components, components, merged, small, stored
 
 T, R = 128, 4  # coordinates, and coordinates to a band: at similarity 0.8 a pair misses all 32 bands once in 2e7
 BLOCK = 128  # sets that are compared with as many others at once
@@ -130,14 +130,15 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, words binary): the shingle sets of the wanted ids, made anew from their texts."""
+    """(id, set binary): the shingle sets of the wanted ids, made anew from their texts; an id has one row for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
+            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_key(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "set_key", "set"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.join(small(wanted.select("id"), BROADCAST_ROWS), "id", "left_semi").mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
+    return rows.join(small(wanted.select("id"), BROADCAST_ROWS), "id", "left_semi").mapInArrow(run, "id bigint, set_key binary, set binary").dropDuplicates(["id", "set_key"]).drop("set_key")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,7 +241,13 @@ def links(docs: DataFrame, width: int, percent: int = 80, id_col: str = "doc_id"
     members = stored(shared.join(weight, "node").select("key", "band", "node", F.lit(0).alias("sig"), "weight"), "members")
     sets = stored(_sets(docs, weight.select(F.col("node").alias("id")), width, id_col, text_col), "sets")
     comps = bucket_components(members, lambda pairs: _verified(pairs, sets, percent), rest=lambda now: _between(now, sets, percent), rounds=1)
-    return found.join(classes.select("set_key", "node"), "set_key", "left"), comps
+    found = found.join(classes.select("set_key", "node"), "set_key", "left")
+    # rows that share an id are one document: their classes are linked, and a row without shingles goes with them
+    shared_ids = found.filter("id is not null").groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), F.count("node").alias("m"))
+    shared_ids = stored(shared_ids.filter("least < most or (m > 0 and m < n)").select("id", "least"), "shared-ids")
+    found = found.join(small(shared_ids, BROADCAST_ROWS), "id", "left")
+    comps = merged(comps, found.filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    return found.withColumn("node", F.coalesce("node", "least")).drop("least"), comps
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

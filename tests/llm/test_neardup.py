@@ -96,3 +96,14 @@ def test_a_long_word_changes_its_own_shingles_alone(spark):
     assert len(a & b) == 294
     rows = spark.createDataFrame([(1, plain), (2, blob)], "doc_id bigint, text string")
     assert {r.component_id for r in N.near_duplicates(rows, 4).collect()} == {1}
+
+
+def test_shared_ids_have_the_sets_of_all_rows(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcde"]
+    near = [t.replace("30", "x") for t in texts]
+    rows = [(9, texts[0]), (9, texts[1]), (9, ""), (1, near[0]), (2, near[1]), (3, texts[2]), (8, texts[2]), (8, texts[3]), (7, near[3]), (6, texts[4])]
+    found = N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 4).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.doc_id, set()).add((r.component_id, r.kept))
+    assert by == {9: {(1, False)}, 1: {(1, True)}, 2: {(1, False)}, 3: {(3, True)}, 8: {(3, False)}, 7: {(3, False)}, 6: {(6, True)}}
