@@ -16,10 +16,18 @@ from strandline.llm.common import WORD_CHAR, small, stored
 BROADCAST_ROWS = 500_000
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone``. Rows without an id stay; rows that share an id go together."""
-    ids = stored(gone.select("doc_id").filter("doc_id is not null").distinct(), "gone")
-    return docs.join(small(ids, BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+ROW = "__sl_row_key"
+
+
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` stored with a number for each row, so that rows without an id or that share one are told apart."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The keyed ``rows`` without those whose key is in ``gone``."""
+    keys = stored(gone.select(ROW), "gone")
+    return rows.join(small(keys, BROADCAST_ROWS), ROW, "left_anti").select([c for c in rows.columns if c != ROW])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +47,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id: five words, similarity 0.8."""
-    return _without(docs, neardup.near_duplicates(docs, width=5, percent=80).filter("not kept"))
+    """One document of each group of near duplicates stays, that of the smallest id (one without an id if no
+    other is left): five words, similarity 0.8."""
+    rows = _keyed(docs, "near-rows")
+    found = stored(neardup.near_duplicates(rows, width=5, percent=80, id_col=ROW), "near-found")
+    several = found.filter("not kept").select("component_id").distinct()
+    linked = found.join(small(several, BROADCAST_ROWS), "component_id", "left_semi").select(ROW, "component_id")
+    linked = stored(rows.select(ROW, "doc_id").join(small(linked, BROADCAST_ROWS), ROW), "near-linked")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    keepers = linked.groupBy("component_id").agg(F.min(place)[ROW].alias(ROW))
+    return _without(rows, linked.join(small(keepers.select(ROW), BROADCAST_ROWS), ROW, "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.scan(docs, items).filter("contaminated"))
+    rows = _keyed(docs, "scanned-rows")
+    return _without(rows, decontaminate.scan(rows, items, id_col=ROW).filter("contaminated"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,18 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert set(seen["near_dedup"]) - set(seen["decontamination"]) == {107}
     assert set(seen["mixing_sources"]) <= set(seen["decontamination"]) and seen["mixing_sources"]
     assert C.run(spark, str(tmp_path)).select(F.count("*")).first()[0] == docs.count()
+
+
+def test_stages_tell_rows_apart(spark, tmp_path):
+    text = lambda c: " ".join(f"{c}{j}x" for j in range(60))
+    item = " ".join(f"item{j}" for j in range(20))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"a {item} b"), (5, f"c {item} d"), (5, text("e"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], schema)
+    assert [tuple(r) for r in C.decontamination(spark, docs, str(tmp_path)).select("doc_id", "text").collect()] == [(5, text("e"))]
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (7, text("b")), (4, text("b")), (7, text("c"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], schema)
+    out = C.near_dedup(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text[0]) for r in out.collect()) == [(0, "a"), (4, "b"), (7, "c")]
