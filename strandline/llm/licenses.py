@@ -1,23 +1,28 @@
 """License scans: an exact set-similarity join of text blocks with license templates, with DataFrame functions alone.
 
-Tokens are ordered by their frequency in the whole corpus, rarest first. A block that holds the share ``threshold`` of a
-template's distinct tokens must hold one of the template's rarest ones (its prefix), must have enough distinct tokens
-(length), and from where the first shared token stands in the order must still be able to reach the share (position).
-Blocks that pass are counted in full, so the join is exact. Blocks are single lines, and for text that is wrapped every run of
-as many words as the template has, across line feeds.
+One pass over the texts stores a posting for each word that is a token of a template or of a base phrase, and for each
+line end. Tokens are ordered by their frequency in the whole corpus, rarest first. A block that holds the share
+``threshold`` of a template's distinct tokens must hold one of the template's rarest ones (its prefix), must have enough
+distinct tokens (length), and from where that token stands in the order must have enough of them left, in the template
+and in the block (position). Only texts with a prefix token are read further, only blocks that pass are counted in full,
+and so the join is exact. Blocks are single lines, and for text that is wrapped every run of as many words as the template
+has, across line feeds.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import GAP, LOWER, UPPER, WORD_CHAR, ascii_lower, stored, words
+from strandline.llm.common import GAP, LOWER, UPPER, ascii_lower, scoped, small, stored
 
 THRESHOLD = 0.8
+#: Rows of matched documents up to which they are broadcast, after they have been counted.
+BROADCAST_ROWS = 100_000
 #: Phrases that give a label by themselves.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Templates of one block each, by label.
@@ -40,73 +45,104 @@ def _template_words(text: str) -> list[str]:
     return [w for w in re.split(GAP, text.translate(str.maketrans(UPPER, LOWER))) if w]
 
 
-def _phrase_pattern(phrase: str) -> str:
-    """The phrase's words consecutively, as whole words, in text as it stands."""
-    return f"(?<!{WORD_CHAR})(?i:" + "[^a-z0-9\\x80-\\x{10FFFF}]+".join(phrase.split()) + f")(?!{WORD_CHAR})"
-
-
-def _is_place(w: Column, phrase: str) -> Column:
-    """For each word of ``w`` that starts the phrase, its number."""
-    parts = phrase.split()
-    return F.filter(F.sequence(F.lit(0), F.size(w) - len(parts)), lambda i: F.forall(F.sequence(F.lit(0), F.lit(len(parts) - 1)), lambda j: F.get(w, i + j) == F.get(F.array(*map(F.lit, parts)), j)))
-
-
-def frequencies(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> dict[str, int]:
-    """How many times each token of the templates occurs in all texts. As many rows as templates have tokens."""
-    asked = sorted({w for _, t in templates for w in _template_words(t)})
-    spark = docs.sparkSession
-    tokens = docs.select(F.explode(words(F.col(text_col))).alias("token"))
-    counted = tokens.join(F.broadcast(spark.createDataFrame([(w,) for w in asked], "token string")), "token").groupBy("token").agg(F.count("*").alias("n"))
-    return dict.fromkeys(asked, 0) | {r["token"]: r["n"] for r in counted.collect()}
-
-
-def _asked(docs: DataFrame, threshold: float, templates, id_col: str, text_col: str, seen: dict[str, int] | None) -> tuple[DataFrame, DataFrame, int, str]:
-    """(id, row, text) of texts with a token of some prefix; the templates' tokens; the fewest that a block needs; the
-    pattern of those prefix tokens."""
-    spark = docs.sparkSession
-    seen = seen or frequencies(docs, text_col, templates)
-    order = {w: k for k, w in enumerate(sorted(seen, key=lambda w: (seen[w], w)))}
-    sets = [(n, label, sorted({order[w] for w in _template_words(t)})) for n, (label, t) in enumerate(templates)]
-    least = {n: math.ceil(threshold * len(s) - 1e-9) for n, _, s in sets}
-    names = sorted(order, key=order.get)
-    prefix = sorted({names[k] for n, _, s in sets for k in s[: len(s) - least[n] + 1]})
-    shortest = min(least.values())
-    asked = spark.createDataFrame([(n, label, k, names[k], at, len(s), least[n], at < len(s) - least[n] + 1) for n, label, s in sets for at, k in enumerate(s)], "template int, label string, rank int, token string, place int, size int, least int, prefix boolean")
-    pattern = f"(?<!{WORD_CHAR})(?i:" + "|".join(map(re.escape, prefix)) + f")(?!{WORD_CHAR})"
-    # prefix and length filters: only blocks with a token of some prefix, and enough distinct tokens, are taken apart
-    held = docs.filter(F.col(text_col).rlike(pattern)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return held, asked, shortest, pattern
-
-
-def join_windows(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", seen: dict[str, int] | None = None) -> DataFrame:
-    """(row, id, template, label, containment): of each text and template the fullest run of as many words as the template
-    has, wherever lines end, if it holds at least ``threshold`` of the template's distinct tokens."""
-    held, asked, _, _ = _asked(docs, threshold, templates, id_col, text_col, seen)
-    lengths = F.array(*(F.lit(len(_template_words(t))) for _, t in templates))
-    tokens = held.filter(F.col("text").contains("\n")).select("id", "row", F.posexplode(words(F.col("text"))).alias("at", "token"))
-    met = tokens.join(F.broadcast(asked.withColumn("length", F.get(lengths, F.col("template")))), "token")
-    met = met.groupBy("id", "row", "template", "label", "size", "least", "length").agg(F.array_sort(F.collect_set(F.struct("at", "place"))).alias("found"), F.max("prefix").alias("prefix"))
-    met = met.filter("prefix and size(found) >= least").filter(F.size(F.array_distinct("found.place")) >= F.col("least"))
-    # a run may as well start with a token that counts; no more of them than its words stand in it
-    held_from = lambda x, i: F.size(F.array_distinct(F.transform(F.filter(F.slice("found", i + 1, F.col("length")), lambda y: y["at"] < x["at"] + F.col("length")), lambda y: y["place"])))
-    best = met.withColumn("n", F.array_max(F.transform("found", held_from))).filter("n >= least")
-    return best.select("row", "id", "template", "label", (F.col("n") / F.col("size")).alias("containment"))
+#: The token that stands for a line end: no word, as words have no capitals A-Z.
+LINE_END = "N"
+_GAP_BUT_LINE_END = r"[\x00-\x2F\x3A-\x4D\x4F-\x60\x7B-\x7F]+"
+
+
+class Order:
+    """Tokens by rank, rarest in the corpus first, and each template and base phrase as ranks."""
+
+    def __init__(self, seen: dict[str, int], threshold: float, templates, base: dict[str, str]):
+        self.names = sorted(seen, key=lambda w: (seen[w], w))
+        rank = {w: k for k, w in enumerate(self.names)}
+        self.sets = [(n, label, sorted({rank[w] for w in _template_words(t)}), len(_template_words(t))) for n, (label, t) in enumerate(templates) if _template_words(t)]
+        self.least = {n: max(1, math.ceil(threshold * len(ranks) - 1e-9)) for n, _, ranks, _ in self.sets}
+        self.phrases = [([rank[w] for w in phrase.split()], label) for phrase, label in base.items()]
+
+    def prefix(self, n: int, ranks: list[int]) -> list[int]:
+        return ranks[: len(ranks) - self.least[n] + 1]
+
+    def asked(self) -> list[int]:
+        """Ranks of which a text must hold one to hold a block of any template, or a base phrase."""
+        return sorted({r for n, _, ranks, _ in self.sets for r in self.prefix(n, ranks)} | {min(p) for p, _ in self.phrases})
 
+    def table(self, spark) -> DataFrame:
+        """(template, label, size, least, length, ranks, place, rank): a row for each prefix token of each template."""
+        rows = [(n, label, len(ranks), self.least[n], length, ranks, at, r) for n, label, ranks, length in self.sets for at, r in enumerate(self.prefix(n, ranks))]
+        return spark.createDataFrame(rows, "template int, label string, size int, least int, length int, ranks array<int>, place int, rank int")
 
-def join_templates(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", seen: dict[str, int] | None = None) -> DataFrame:
-    """(row, id, block, template, label, containment): each text block (line) that holds at least ``threshold`` of a
-    template's distinct tokens. ``row`` numbers the rows of ``docs`` by value of id and text, so equal rows share it."""
-    held, asked, shortest, pattern = _asked(docs, threshold, templates, id_col, text_col, seen)
-    held = held.select("id", "row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    held = held.filter(F.col("line").rlike(pattern)).withColumn("tokens", F.array_distinct(words(F.col("line")))).filter(F.size("tokens") >= shortest)
-    tokens = held.select("id", "row", "block", F.size("tokens").alias("distinct"), F.explode("tokens").alias("token"))
-    shared = tokens.join(F.broadcast(asked), "token").filter("distinct >= least")
-    key = ["id", "row", "block", "template", "label", "size", "least"]
-    # position filter: the rarest shared token must be in the prefix, which leaves at least ``least`` places from it on
-    counted = shared.groupBy(*key, "distinct").agg(F.min("place").alias("first"), F.countDistinct("token").alias("n")).filter("size - first >= least and n >= least")
-    return counted.select("row", "id", "block", "template", "label", (F.col("n") / F.col("size")).alias("containment"))
+
+def postings(docs: DataFrame, templates=TEMPLATES, base=BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, n_words, at, token): stored rows for all words of ``docs`` that are tokens asked for and for line ends
+    (``at`` counts words and line ends), and one for each document whose first word is neither. ``row`` numbers documents."""
+    vocabulary = sorted({w for _, t in templates for w in _template_words(t)} | {w for p in base for w in p.split()} | {LINE_END})
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = F.replace(ascii_lower(text), F.lit("\n"), F.lit(f" {LINE_END} "))
+    w = docs.select(F.col(id_col).alias("id"), F.array_remove(F.split(marked, _GAP_BUT_LINE_END), "").alias("w"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("ends"))
+    w = w.withColumn("row", F.monotonically_increasing_id())
+    each = w.select("row", "id", (F.size("w") - F.col("ends")).cast("bigint").alias("n_words"), F.posexplode_outer("w").alias("at", "word"))
+    token = F.when(F.col("word").isin(vocabulary), F.col("word"))
+    return stored(each.select("row", "id", "n_words", F.coalesce("at", F.lit(0)).alias("at"), token.alias("token")).filter("token is not null or at = 0"), "license-postings")
+
+
+def frequencies(found: DataFrame) -> dict[str, int]:
+    """How many times each token occurs among postings. As many rows as templates and phrases have tokens."""
+    counted = found.filter((F.col("token") != LINE_END)).groupBy("token").agg(F.count("*").alias("n"))
+    return {r["token"]: r["n"] for r in counted.collect()}
+
+
+def read_further(found: DataFrame, order: Order) -> DataFrame:
+    """(row, line, word, rank, and the ranks of the next words if they are tokens: next_1, ...) of all postings of texts
+    that hold a token asked for; ``word`` numbers words, ``line`` lines."""
+    spark = found.sparkSession
+    ranked = F.broadcast(spark.createDataFrame([*enumerate(order.names), (-1, LINE_END)], "rank int, token string"))
+    known = found.filter("token is not null").join(ranked, "token").select("row", "at", "rank")
+    rows = stored(known.filter(F.col("rank").isin(order.asked())).select("row").distinct(), "license-rows")
+    own = known.join(small(rows, BROADCAST_ROWS), "row", "left_semi")
+    by_row = Window.partitionBy("row").orderBy("at")
+    lined = own.withColumn("line", F.sum(F.when(F.col("rank") == -1, 1).otherwise(0)).over(by_row.rowsBetween(Window.unboundedPreceding, 0))).filter("rank >= 0")
+    lined = lined.select("row", "line", (F.col("at") - F.col("line")).cast("int").alias("word"), "rank")
+    by_word = Window.partitionBy("row").orderBy("word")
+    longest = max((len(p) for p, _ in order.phrases), default=1)
+    ahead = [F.when(F.lead("word", k).over(by_word) == F.col("word") + k, F.lead("rank", k).over(by_word)).alias(f"next_{k}") for k in range(1, longest)]
+    return stored(lined.select("row", "line", "word", "rank", *ahead), "license-words")
+
+
+def base_places(words_found: DataFrame, order: Order) -> DataFrame:
+    """(row, places, base_labels): where base phrases stand, ascending, and their labels."""
+    stands = [reduce(lambda x, y: x & y, [F.col("rank") == p[0], *(F.col(f"next_{k}") == r for k, r in enumerate(p[1:], 1))]) for p, _ in order.phrases]
+    labels = F.array_compact(F.array(*(F.when(c, F.lit(label)) for c, (_, label) in zip(stands, order.phrases, strict=True)))) if stands else F.array().cast("array<string>")
+    each = words_found.select("row", "word", F.explode(labels).alias("label"))
+    return each.groupBy("row").agg(F.array_sort(F.collect_list("word")).alias("places"), F.array_sort(F.collect_set("label")).alias("base_labels"))
+
+
+def join_lines(words_found: DataFrame, order: Order) -> DataFrame:
+    """(row, label, containment): each line that holds at least the threshold of a template's distinct tokens."""
+    blocks = words_found.groupBy("row", "line").agg(F.array_sort(F.collect_set("rank")).alias("own"))
+    blocks = blocks.filter(F.size("own") >= min(order.least.values(), default=1))
+    each = blocks.select("row", "line", "own", F.posexplode("own").alias("at", "rank"))
+    met = each.join(F.broadcast(order.table(words_found.sparkSession)), "rank").filter("size(own) >= least and size - place >= least and size(own) - at >= least")
+    met = met.select("row", "line", "template", "label", "size", "least", F.size(F.array_intersect("own", "ranks")).alias("n")).filter("n >= least")
+    return met.select("row", "label", (F.col("n") / F.col("size")).alias("containment")).distinct()
+
+
+def join_windows(words_found: DataFrame, order: Order) -> DataFrame:
+    """(row, label, containment): of each text and template the fullest run of as many words as the template has, wherever
+    lines end, if it holds at least the threshold of the template's distinct tokens."""
+    table = F.broadcast(order.table(words_found.sparkSession))
+    # texts with a prefix token of the template, and of those all words that are tokens of it
+    pairs = words_found.select("row", "rank").distinct().join(table, "rank").select("row", "template", "label", "size", "least", "length", "ranks").distinct()
+    met = words_found.select("row", "word", "rank").join(small(pairs, BROADCAST_ROWS), "row").filter(F.array_contains("ranks", F.col("rank")))
+    met = met.groupBy("row", "template", "label", "size", "least", "length").agg(F.array_sort(F.collect_list(F.struct("word", "rank"))).alias("found"))
+    met = met.filter("size(found) >= least").filter(F.size(F.array_distinct("found.rank")) >= F.col("least"))
+    # a run may as well start with a token that counts; no more of them than its words stand in it
+    held_from = lambda x, i: F.size(F.array_distinct(F.transform(F.filter(F.slice("found", i + 1, F.col("length")), lambda y: y["word"] < x["word"] + F.col("length")), lambda y: y["rank"])))
+    best = met.withColumn("n", F.array_max(F.transform("found", held_from))).filter("n >= least")
+    return best.select("row", "label", (F.col("n") / F.col("size")).alias("containment"))
 
 
+@scoped
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The licenses of each document: (id, n_words, places, base_labels, labels, score), by lines and by runs of words that
     go over line ends.
@@ -116,30 +152,20 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, id_
     and empty texts have no words, places or labels. Rows that repeat an id and text each get the same result; null ids
     stay null and are labelled like others; an empty table gives no rows; other columns are not looked at.
     """
-    seen = frequencies(docs, text_col, templates)
-    found = join_templates(docs, threshold, templates, id_col, text_col, seen).drop("block")
-    found = found.unionByName(join_windows(docs, threshold, templates, id_col, text_col, seen))
-    by_row = stored(found.groupBy("id", "row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment")), "licenses")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n_words = F.size(F.array_remove(F.split(text, GAP.replace("\\x60", "\\x60").replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60")), ""))
-    marked = F.col(text_col).rlike("|".join(map(_phrase_pattern, BASE)))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), n_words.cast("bigint").alias("n_words"), F.when(marked, words(text)).alias("w"))
-    at = {p: F.when(F.size("w") >= len(p.split()), _is_place(F.col("w"), p)) for p in BASE}
-    none = F.array().cast("array<int>")
-    rows = rows.select("id", "row", "n_words", *(F.coalesce(c, none).alias(f"p{k}") for k, c in enumerate(at.values())))
-    ps = [F.col(f"p{k}") for k in range(len(BASE))]
-    base = F.array_compact(F.array(*(F.when(F.size(p) > 0, F.lit(label)) for p, label in zip(ps, BASE.values(), strict=True))))
-    rows = rows.select("id", "row", "n_words", F.array_sort(F.concat(*ps)).alias("places"), F.array_sort(base).alias("base_labels"))
-    more = by_row.withColumnRenamed("id", "id2").withColumnRenamed("row", "row2")
-    few = by_row.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(more) if few else more, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left")
-    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
+    found = postings(docs, templates, BASE, id_col, text_col)
+    asked = {w for _, t in templates for w in _template_words(t)} | {w for p in BASE for w in p.split()}
+    order = Order(dict.fromkeys(asked, 0) | frequencies(found), threshold, templates, BASE)
+    further = read_further(found, order)
+    blocks = join_lines(further, order).unionByName(join_windows(further, order))
+    more = blocks.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    held = stored(base_places(further, order).join(more, "row", "full"), "licenses")
+    rows = found.filter("at = 0").select("row", F.col("id").alias(id_col), "n_words")
+    none, no_places = F.array().cast("array<string>"), F.array().cast("array<int>")
+    labels = F.array_sort(F.array_distinct(F.concat(F.coalesce("base_labels", none), F.coalesce("more", none))))
     score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0)))
-    return joined.select(F.col("id").alias(id_col), "n_words", "places", "base_labels", labels.alias("labels"), score.alias("score"))
-
-
-#: Rows of matched documents up to which they are broadcast, after they have been counted.
-BROADCAST_ROWS = 200_000
+    joined = rows.join(small(held, BROADCAST_ROWS), "row", "left")
+    joined = joined.select(id_col, "n_words", F.coalesce("places", no_places).alias("places"), F.coalesce("base_labels", none).alias("base_labels"), labels.alias("labels"), score.alias("score"))
+    return stored(joined, "license-labels", keep=True)
 
 
 def scan_sql(docs: str = "documents", threshold: float = THRESHOLD, templates=TEMPLATES) -> str:
