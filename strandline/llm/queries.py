@@ -54,9 +54,10 @@ def op4_licenses(spark, sf_dir):
 
 
 def op5_substrings(spark, sf_dir):
-    """Every text without the bytes of 400-byte strings that occur more than once."""
+    """Every text without the bytes of 400-byte strings that occur more than once; n_repeated counts the bytes of shorter
+    passages that do, which stay."""
     found = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op6_html(spark, sf_dir):
@@ -72,7 +73,7 @@ def op7_neardup(spark, sf_dir):
 
 def op8_lines(spark, sf_dir):
     """Every text without repeated lines: how many it had and lost, and a digest of what is left."""
-    found = lines.dedup_lines(_table(spark, sf_dir, "documents"), k=None)
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

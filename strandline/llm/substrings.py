@@ -21,9 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored
+from strandline.llm.common import scoped, small, stored
 
 LENGTH, SEED = 400, 64
+#: Strings from so many bytes on, about 40 words, are reported as repeated, though only those of LENGTH are removed.
+PASSAGE = 240
+#: Seeds at more places than these are told to all tasks, so that none has to hold a very common passage.
+HOT_SEED = 2_000
+#: Such seeds (a number each) are broadcast up to so many, after they have been counted.
+HOT_ROWS = 200_000
 #: Runs are cut at so many bytes of contexts, which bounds a task's memory while it sorts.
 RUN_BYTES = 24_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -225,7 +231,22 @@ def _scan(length: int, seed: int):
     return run
 
 
-def _runs(length: int, seed: int, parts: int):
+def windows(raw: bytes, at: np.ndarray, h: np.ndarray, lengths: tuple[int, ...], seed: int) -> dict[int, tuple[int, int]]:
+    """For each anchor of the shortest length (first, end) of the bytes that the strings it stands for cover, of every
+    length: a minimizer of a longer string is one of the shorter strings that hold it, too."""
+    out: dict[int, tuple[int, int]] = {}
+    for length in lengths:
+        if len(raw) < length:
+            continue
+        own, its = (at, h) if length == min(lengths) else anchors(raw, length, seed)
+        for p, (lo, hi) in zip(own.tolist(), starts(own, its, len(raw), length, seed), strict=True):
+            if lo <= hi:
+                a, b = out.get(p, (lo, hi + length))
+                out[p] = min(a, lo), max(b, hi + length)
+    return out
+
+
+def _runs(lengths: tuple[int, ...], seed: int, parts: int):
     """Front-coded sorted runs of the contexts of wanted anchors. Contexts that repeat in a task are sent once."""
 
     def cut(held: dict) -> Iterator[pa.RecordBatch]:
@@ -245,17 +266,18 @@ def _runs(length: int, seed: int, parts: int):
         for batch in batches:
             for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = _bytes(text)
-                at, h = anchors(raw, length, seed)
-                wanted = set(wanted)
-                for p, x, (lo, hi) in zip(at.tolist(), h.tolist(), starts(at, h, len(raw), length, seed), strict=True):
-                    if p in wanted and lo <= hi:
-                        context = raw[p : hi + length], raw[lo:p][::-1]
+                at, h = anchors(raw, min(lengths), seed)
+                spans, wanted = windows(raw, at, h, lengths, seed), set(wanted)
+                for p, x in zip(at.tolist(), h.tolist(), strict=True):
+                    if p in wanted and p in spans:
+                        lo, end = spans[p]
+                        context = raw[p:end], raw[lo:p][::-1]
                         if context in held:
                             held[context][1].append((key, p))
                             held[context][2] = True
                         else:
                             held[context] = [x, [(key, p)], False]
-                            size += hi + length - lo
+                            size += end - lo
                 if size > RUN_BYTES:
                     yield from cut(held)
                     held, size = {}, 0
@@ -269,8 +291,8 @@ RUN_SCHEMA = pa.schema([pa.field("part", pa.int32()), *_LISTS, pa.field("rest",
 RUN_DDL = "part int, shared array<int>, sizes array<int>, left_order array<int>, left_shared array<int>, left_sizes array<int>, rest binary, left_rest binary, many array<boolean>, tags array<int>, tag_key array<binary>, tag_at array<bigint>"
 
 
-def merge(runs: list[dict], length: int) -> Iterator[tuple[bytes, int, int]]:
-    """(text, first byte, byte after the last) of repeated strings among runs of one part."""
+def merge(runs: list[dict], lengths: tuple[int, ...]) -> Iterator[tuple[bytes, int, int, int]]:
+    """(text, first byte, byte after the last, length) of repeated strings of each length among runs of one part."""
 
     def right(n, r):
         return ((k, s, (n, i)) for i, (k, s) in enumerate(front_decode(r["shared"], r["sizes"], r["rest"])))
@@ -295,43 +317,44 @@ def merge(runs: list[dict], length: int) -> Iterator[tuple[bytes, int, int]]:
     many = np.array([runs[r]["many"][i] for r, i in order], bool)
     left_of = np.zeros(n, np.int64)
     left_of[left_order] = left_size
-    repeated: list[list[int]] = [[] for _ in range(n)]
     # a group: suffixes that share at least a seed with the one before
-    for offset in range(int(left_size.max(initial=0)) + 1):
-        need = length - offset
-        fits = np.flatnonzero((left_of >= offset) & (size >= need))
-        if len(fits) < 1:
-            continue
-        right_class = np.cumsum(lcp < need)
-        left_class = np.zeros(n, np.int64)
-        left_class[left_order] = np.cumsum(left_lcp < offset)
-        both = right_class[fits] * (n + 1) + left_class[fits]
-        _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
-        for i in fits[(count[inverse] > 1) | many[fits]].tolist():
-            repeated[i].append(offset)
-    for i, offsets in enumerate(repeated):
-        if not offsets:
-            continue
-        run, j = order[i]
-        r = runs[run]
-        spans = []
-        for o in reversed(offsets):  # from the leftmost string on
-            if spans and -o <= spans[-1][1]:
-                spans[-1][1] = length - o
-            else:
-                spans.append([-o, length - o])
-        for t in range(first_tag[run][j], first_tag[run][j + 1]):
-            key, p = r["tag_key"][t], r["tag_at"][t]
-            for a, b in spans:
-                yield key, p + a, p + b
-
-
-def _merge(length: int):
+    for length in lengths:
+        repeated: list[list[int]] = [[] for _ in range(n)]
+        for offset in range(min(length, int(left_size.max(initial=0)) + 1)):
+            need = length - offset
+            fits = np.flatnonzero((left_of >= offset) & (size >= need))
+            if len(fits) < 1:
+                continue
+            right_class = np.cumsum(lcp < need)
+            left_class = np.zeros(n, np.int64)
+            left_class[left_order] = np.cumsum(left_lcp < offset)
+            both = right_class[fits] * (n + 1) + left_class[fits]
+            _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
+            for i in fits[(count[inverse] > 1) | many[fits]].tolist():
+                repeated[i].append(offset)
+        for i, offsets in enumerate(repeated):
+            if not offsets:
+                continue
+            run, j = order[i]
+            r = runs[run]
+            spans = []
+            for o in reversed(offsets):  # from the leftmost string on
+                if spans and -o <= spans[-1][1]:
+                    spans[-1][1] = length - o
+                else:
+                    spans.append([-o, length - o])
+            for t in range(first_tag[run][j], first_tag[run][j + 1]):
+                key, p = r["tag_key"][t], r["tag_at"][t]
+                for a, b in spans:
+                    yield key, p + a, p + b, length
+
+
+def _merge(lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows):
-            found = list(merge(rows, length)) if rows else []
-            cols = list(zip(*found, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["key", "lo", "hi"])
+            found = list(merge(rows, lengths)) if rows else []
+            cols = list(zip(*found, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["key", "lo", "hi", "length"])
 
         part, rows = None, []
         for batch in batches:  # sorted by part: a part's runs come one after another
@@ -345,60 +368,80 @@ def _merge(length: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text_col: str = "text") -> DataFrame:
-    """(key, lo, hi): bytes of distinct texts (key: md5) that strings occurring more than once cover, overlapping."""
+@scoped
+def repeats(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH, PASSAGE), seed: int = SEED, text_col: str = "text") -> DataFrame:
+    """(key, spans): for distinct texts (key: md5) the bytes lo to hi that strings of a ``length`` cover which occur more
+    than once; spans may overlap."""
     # equal texts are one here, however many rows hold them
-    texts = docs.select(F.col(text_col).alias("text")).filter(F.octet_length("text") >= length)
-    scanned = stored(texts.mapInArrow(_scan(length, seed), "key binary, n bigint, at array<bigint>, h array<bigint>"), "anchors")
+    shortest = min(lengths)
+    texts = docs.select(F.col(text_col).alias("text")).filter(F.octet_length("text") >= shortest)
+    scanned = stored(texts.mapInArrow(_scan(shortest, seed), "key binary, n bigint, at array<bigint>, h array<bigint>"), "anchors")
     distinct = stored(scanned.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("at").alias("at"), F.first("h").alias("h")), "texts")
-    whole = distinct.filter("copies > 1").select("key", F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi"))
+    each = F.explode(F.array(*(F.lit(x).cast("bigint") for x in lengths)))
+    whole = distinct.filter("copies > 1").select("key", F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi"), each.alias("length")).filter("hi >= length")
     single = distinct.select("key", F.explode(F.arrays_zip("at", "h")).alias("x")).select("key", "x.at", "x.h")
-    again = single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    wanted = stored(single.join(again, "h", "left_semi").groupBy("key").agg(F.collect_list("at").alias("wanted")), "wanted")
+    again = stored(single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "seeds")
+    # the seeds of very common passages go to all tasks, so that their places stay where they are; the rest is dealt out
+    hot = small(again.filter(F.col("n") > HOT_SEED).select("h"), HOT_ROWS)
+    often = single.join(hot, "h", "left_semi")
+    seldom = single.join(hot, "h", "left_anti").join(again.filter(F.col("n") <= HOT_SEED).select("h"), "h", "left_semi")
+    wanted = stored(often.unionByName(seldom).groupBy("key").agg(F.collect_list("at").alias("wanted")), "wanted")
     keyed = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     # what is wanted grows with the texts, so it is dealt out with them, and hashed there instead of sorting texts
     rows = keyed.join(wanted.hint("shuffle_hash"), "key")
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = rows.select("key", "text", "wanted").dropDuplicates(["key"]).mapInArrow(_runs(length, seed, 4 * parts), RUN_DDL)
+    runs = rows.select("key", "text", "wanted").dropDuplicates(["key"]).mapInArrow(_runs(lengths, seed, 4 * parts), RUN_DDL)
     runs = stored(runs, "runs")
-    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(length), "key binary, lo bigint, hi bigint")
-    return stored(merged.unionByName(whole), "repeats")
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw = _bytes(text)
-            runs: list[list[int]] = []
-            for x in sorted(spans or [], key=lambda x: (x["lo"], x["hi"])):
-                if runs and x["lo"] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], x["hi"])
-                else:
-                    runs.append([x["lo"], x["hi"]])
-            kept, at = [], 0
-            for lo, hi in runs:
-                kept.append(raw[at:lo])
-                at = hi
-            kept = b"".join([*kept, raw[at:]])
-            rows.append((len(raw), len(raw) - len(kept), [{"lo": a, "hi": b} for a, b in runs], kept))
-        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(cols[3], pa.binary())], names=["id", "n_bytes", "n_removed", "spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept) of each row: its text as UTF-8 without the bytes that any string of
-    ``length`` bytes covers which also starts anywhere else in the table, in the same text or another.
-
-    ``spans`` are the maximal removed runs, ``kept`` (binary) the remaining bytes joined. Null texts are empty; texts
-    shorter than ``length`` lose nothing; rows that repeat a text are copies of each other, so both lose all of it; a
-    null id stays null; an empty table gives no rows; matches never cross rows.
+    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(lengths), "key binary, lo bigint, hi bigint, length bigint")
+    found = merged.unionByName(whole).distinct()
+    return stored(found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "length")).alias("spans")), "spans", keep=True)
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans that touch or overlap as one, ascending."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    return runs
+
+
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = _bytes(text)
+                runs = _joined([(x["lo"], x["hi"]) for x in spans or [] if x["length"] == length])
+                kept, at = [], 0
+                for lo, hi in runs:
+                    kept.append(raw[at:lo])
+                    at = hi
+                kept = b"".join([*kept, raw[at:]])
+                repeated = sum(hi - lo for lo, hi in _joined([(x["lo"], x["hi"]) for x in spans or []]))
+                rows.append((len(raw), len(raw) - len(kept), repeated, [{"lo": a, "hi": b} for a, b in runs], kept))
+            cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(cols[4], pa.binary())], names=["id", "n_bytes", "n_removed", "n_repeated", "spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
+    """(id, n_bytes, n_removed, n_repeated, spans, kept) of each row: its text as UTF-8 without the bytes that any string
+    of ``length`` bytes covers which also starts anywhere else in the table, in the same text or another.
+
+    ``spans`` are the maximal removed runs, ``kept`` (binary) the remaining bytes joined. ``n_repeated`` counts the bytes
+    that repeated strings of ``passage`` bytes cover, which stay if they are shorter than ``length``; a passage from
+    ``length`` on is not looked for. Null texts are empty; texts shorter than ``length`` lose nothing; rows that repeat a
+    text are copies of each other, so both lose all of it; a null id stays null; an empty table gives no rows; matches
+    never cross rows.
     """
-    found = repeats(docs, length, seed, text_col)
-    grouped = stored(found.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    grouped = repeats(docs, (length, passage) if passage < length else (length,), seed, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     rows = keyed.join(grouped.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
-    made = rows.mapInArrow(_cut, f"id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
+    made = rows.mapInArrow(_cut(length), f"id {kind}, n_bytes bigint, n_removed bigint, n_repeated bigint, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
     return made.withColumnRenamed("id", id_col)

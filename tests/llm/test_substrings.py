@@ -56,12 +56,33 @@ def test_against_brute_force(spark):
     texts += [texts[0], texts[0], None, "", "a" * 200, "xy" * 60, shared[0], shared[0][3:], (shared[1] + " ") * 3]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     for n in (40, 55):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in S.remove_repeats(df, n, 16).collect()}
+        rows = S.remove_repeats(df, n, 16, passage=30).collect()
+        got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in rows}
         assert [got[k] for k in range(len(texts))] == brute(texts, n)
+        assert {r.doc_id: r.n_repeated for r in rows} == {k: x[1] for k, x in enumerate(brute(texts, 30))}
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """The registered query with its own lengths: passages from 240 bytes are told, those from 400 taken out."""
+    import hashlib
+
+    from strandline.llm import queries
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared, short, few = prose(120), prose(52), prose(30)
+    texts = [prose(150) for _ in range(10)] + [f"{prose(40)} {p} {prose(20)}" for p in (shared, shared, short, short, few, few, shared)] + [None, "", shared, prose(2000) + shared * 3]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_substrings(spark, str(tmp_path)).collect()}
+    for k, ((n, removed, kept), (_, repeated, _)) in enumerate(zip(brute(texts, 400), brute(texts, 240), strict=True)):
+        r = got[k]
+        assert (r.n_bytes, r.n_removed, r.kept_sha256, r.n_repeated) == (n, removed, hashlib.sha256(kept).hexdigest(), repeated)
+    assert got[12].n_removed == 0 < got[12].n_repeated and got[14].n_repeated == 0 == got[0].n_repeated
 
 
 def test_odd_rows(spark, odd, none):
-    got = S.remove_repeats(odd, 40, 16).collect()
+    got = S.remove_repeats(odd, 40, 16, passage=30).collect()
     assert len(got) == odd.count()
     assert next(r for r in got if r.doc_id == 1).n_removed == next(r for r in got if r.doc_id == 1).n_bytes
     assert S.remove_repeats(none, 40, 16).count() == 0
