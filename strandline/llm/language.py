@@ -1,10 +1,12 @@
 """Language ID by prediction by partial matching over bytes.
 
-Each language has a variable-order context tree of byte symbols, up to three symbols deep. Its statistics are counted
-once from labelled documents and then frozen. A symbol that a context has seen c times of n, among d kinds, costs
--log2(c / (n + d)); else an escape of -log2(d / (n + d)) is paid and the next shorter context is asked (method C), down
-to a flat code over all symbols. As the statistics are frozen, the cost of every symbol after every context is one
-number, so trees are flattened to rows of costs, and exact code lengths of whole texts are sums of look-ups.
+Each language has a variable-order context tree of bytes, up to three bytes deep. Its statistics are counted once from
+labelled documents and then frozen. A byte that a context has seen c times of n, among d kinds, costs -log2(c / (n + d));
+else an escape of -log2(d / (n + d)) is paid and the next shorter context is asked (method C), down to a flat code over
+all bytes; a context that was never seen passes on for nothing. As the statistics are frozen, the cost of every byte after
+every context is one number. Those of all strings of four bytes that any language has seen are kept ready, for all
+languages side by side, and so are costs and escapes of the shorter contexts for strings that none has seen, so exact
+code lengths of whole texts are sums of look-ups.
 """
 
 from __future__ import annotations
@@ -17,100 +19,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-#: Bytes as symbols: lower-case letters, the bytes of two-byte Latin characters, space, and one symbol for each kind of
-#: what is left. Capital ASCII letters share the symbol of the small ones.
-N = 64
 DEPTH = 3
-#: Documented bounds of what is learned: documents that statistics are counted from (chosen by hash of the text, alike
-#: for every language), and how many times a context must be seen to be kept in a tree.
-TRAIN_ROWS, KEEP_SEEN = 20_000, 64
+#: Documented bound of what is learned: documents that statistics are counted from, chosen by hash of the text, alike for
+#: every language.
+TRAIN_ROWS = 20_000
+#: Bytes of a text whose codes are looked up at once, which bounds memory for any length.
+STEP = 1 << 16
 UNDETERMINED = "und"
+_LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+
+
+def normal(text: bytes) -> np.ndarray:
+    """The bytes that are coded: A-Z as a-z, runs of white space and control bytes as one space, one space at the end, and
+    four at the start, of which the last is coded, too."""
+    b = np.frombuffer(b"    " + text.translate(_LOWER) + b" ", np.uint8)
+    b = np.where(b < 33, np.uint8(32), b)
+    keep = np.ones(len(b), bool)
+    keep[4:] = (b[4:] != 32) | (b[3:-1] != 32)
+    return b[keep]
+
+
+def strings(text: bytes) -> np.ndarray:
+    """Every byte that is coded with its three predecessors as one 32-bit number."""
+    b = normal(text).astype(np.uint32)
+    return b[:-DEPTH] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:]
+
+
+class Places:
+    """Where each of some distinct numbers stands in their order: a table by hash, and a sorted rest of those that fell
+    on a taken place."""
+
+    def __init__(self, values: np.ndarray):
+        bits = max(8, int(len(values) * 2).bit_length())
+        self.shift = np.uint32(32 - bits)
+        self.key, self.at = np.zeros(1 << bits, np.uint32), np.full(1 << bits, -1, np.int32)
+        slot = self._slot(values)
+        self.key[slot], self.at[slot] = values, np.arange(len(values), dtype=np.int32)
+        self.rest = np.flatnonzero(self.at[slot] != np.arange(len(values)))
+        self.rest = self.rest[np.argsort(values[self.rest], kind="stable")].astype(np.int32)
+        self.rest_key = values[self.rest]
+
+    def _slot(self, values: np.ndarray) -> np.ndarray:
+        return (values * np.uint32(0x9E3779B1)) >> self.shift
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The places of ``values``; -1 for those that are not among the numbers."""
+        slot = self._slot(values)
+        out = np.where(self.key[slot] == values, self.at[slot], np.int32(-1))
+        if len(self.rest):
+            left = np.flatnonzero(out < 0)
+            k = np.minimum(np.searchsorted(self.rest_key, values[left]), len(self.rest) - 1)
+            found = self.rest_key[k] == values[left]
+            out[left[found]] = self.rest[k[found]]
+        return out
 
 
-def symbols() -> np.ndarray:
-    """The symbol (0 to N - 1) of each byte: 0 space and control, 1-26 letters, 27 digits, 28 other ASCII, 29-32 lead
-    bytes, 33-63 continuation bytes by their place (the last shared by the few above)."""
-    table = np.full(256, 28, np.uint8)
-    table[:33] = 0
-    table[48:58] = 27
-    for i in range(26):
-        table[65 + i] = table[97 + i] = 1 + i
-    table[0xC2:0xE0] = 30
-    table[0xC3] = 29
-    table[0xE0:0xF0] = 31
-    table[0xF0:] = 32
-    folded = np.arange(0x80, 0xC0)
-    # after 0xC3, 0x80-0x9E are capitals of 0xA0-0xBE
-    table[0x80:0xC0] = 33 + np.where(folded < 0xA0, folded - 0x80, folded - 0xA0).clip(0, 30)
-    return table
-
-
-SYMBOLS = symbols()
-
-
-def coded(text: bytes) -> np.ndarray:
-    """Symbols of a text, runs of symbol 0 counting once, with one symbol 0 before and after."""
-    s = SYMBOLS[np.frombuffer(b" " + text + b" ", np.uint8)]
-    keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    return s[keep]
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sums of their counts."""
+    kinds, inverse = np.unique(codes, return_inverse=True)
+    return kinds, np.bincount(inverse, counts, len(kinds))
 
 
-def contexts(s: np.ndarray) -> np.ndarray:
-    """For each symbol but the first, its three predecessors as one number (spaces before the start)."""
-    wide = np.concatenate([np.zeros(DEPTH - 1, np.int32), s.astype(np.int32)])
-    return wide[:-DEPTH] * (N * N) + wide[1 : 1 - DEPTH] * N + wide[2 : 2 - DEPTH] if len(s) > 1 else np.zeros(0, np.int32)
+def _level(codes: np.ndarray, own: np.ndarray, counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(costs of ``codes``, contexts, their escapes) by one language's counts of its ``own`` codes, the last byte of which
+    is the symbol; ``below`` are the costs of ``codes`` without their first byte."""
+    contexts, at = np.unique(codes >> np.uint32(8), return_inverse=True)
+    where = np.searchsorted(contexts, own >> np.uint32(8))
+    n, d = np.bincount(where, counts, len(contexts)), np.bincount(where, minlength=len(contexts))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = np.where(n > 0, -np.log2(d / (n + d)), 0.0)
+        seen = np.zeros(len(codes))
+        seen[np.searchsorted(codes, own)] = counts
+        cost = np.where(seen > 0, -np.log2(seen / (n + d)[at]), escape[at] + below)
+    return cost, contexts, escape
 
 
-def flatten(counts: np.ndarray, codes: np.ndarray, keep_seen: int = KEEP_SEEN, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The tree of one language as (rows of costs, row of each context of three).
+class Model:
+    """Frozen trees of all languages side by side.
 
-    ``codes`` are context * N + symbol, ``counts`` how many times each was seen. Rows 0: no context; 1..N: one symbol;
-    then N * N of two; then those of three in ``kept`` (of this language alone if not given).
+    ``codes`` and ``costs``: for strings of 4 and 3 bytes that some language has seen, and for all of 2 bytes, the cost of
+    the last byte after the others, a row of all languages; ``contexts`` and ``escapes``: of 3 and of 2 bytes.
     """
-    full = np.zeros((N * N * N, N), np.float32)
-    full.reshape(-1)[codes] = counts
-    by = [full]
-    for order in range(DEPTH, 0, -1):
-        by.append(by[-1].reshape(N, N ** (order - 1), N).sum(axis=0))
-    by = by[::-1]  # by[o]: the contexts of o symbols
-    below = np.full((1, N), np.log2(N))
-    levels = []
-    for order in range(DEPTH + 1):
-        c = by[order]
-        if order == DEPTH:
-            kept = np.flatnonzero(c.sum(axis=1) >= keep_seen) if kept is None else kept
-            c, under = c[kept], below[kept % (N * N)]
-        else:
-            under = below[np.arange(len(c)) % len(below)]
-        c = c.astype(np.float64)
-        n, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cost = np.where(c > 0, -np.log2(c / (n + d)), under + np.where(n > 0, -np.log2(d / (n + d)), 0.0))
-        levels.append(cost)
-        below = cost
-    rows = np.concatenate(levels).astype(np.float32)
-    first = 1 + N + N * N
-    row_of = (1 + N + np.arange(N**DEPTH) % (N * N)).astype(np.int32)
-    row_of[kept] = first + np.arange(len(kept))
-    return rows, row_of
 
+    def __init__(self, langs: list[str], codes: list[np.ndarray], costs: list[np.ndarray], contexts: list[np.ndarray], escapes: list[np.ndarray]):
+        self.langs, self.codes, self.costs, self.contexts, self.escapes = langs, codes, costs, contexts, escapes
+        self.places = [Places(c) for c in codes[:2]]
+        self.context_places = [Places(c) for c in contexts]
 
-class Model:
-    """Frozen trees of all languages side by side: costs (rows x N, languages) and one row for each context."""
-
-    def __init__(self, langs: list[str], costs: np.ndarray, row_of: np.ndarray):
-        self.langs, self.costs, self.row_of = langs, costs, row_of
+    def parts(self) -> tuple:
+        return self.langs, self.codes, self.costs, self.contexts, self.escapes
 
     def lengths(self, text: str) -> np.ndarray:
         """The exact code length of a text in bits, for each language."""
-        s = coded(text.encode("utf-8", "surrogatepass"))
-        if len(s) < 2:
-            return np.zeros(len(self.langs))
         out = np.zeros(len(self.langs))
-        where = self.row_of[contexts(s)] * N + s[1:]
-        for at in range(0, len(where), 1 << 16):  # bounded memory for any length
-            out += self.costs[where[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+        whole = strings(text.encode("utf-8", "surrogatepass"))
+        for start in range(0, len(whole), STEP):
+            w = whole[start : start + STEP]
+            for level in range(2):
+                at = self.places[level].find(w)
+                met = at >= 0
+                out += self.costs[level][at[met]].sum(axis=0, dtype=np.float64)
+                w = w[~met]
+                if not len(w):
+                    break
+                at = self.context_places[level].find(w >> np.uint32(8))
+                out += self.escapes[level][at[at >= 0]].sum(axis=0, dtype=np.float64)
+                w = w & np.uint32(0xFFFFFF if level == 0 else 0xFFFF)
+            else:
+                out += self.costs[2][w].sum(axis=0, dtype=np.float64)
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -122,46 +138,69 @@ class Model:
         return self.langs[best], float(1.0 / np.exp2(bits[best] - bits).sum())
 
 
+def grown(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The trees of languages from their counts (codes of four bytes, how many times each)."""
+    langs = sorted(counts)
+    empty = np.zeros(0, np.uint32)
+    codes = [np.unique(np.concatenate([empty, *(counts[x][0] for x in langs)]) & np.uint32(mask)) for mask in (0xFFFFFFFF, 0xFFFFFF)] + [np.arange(1 << 16, dtype=np.uint32)]
+    contexts = [np.unique(c >> np.uint32(8)) for c in codes[:2]]
+    costs: list[list[np.ndarray]] = [[], [], []]
+    escapes: list[list[np.ndarray]] = [[], []]
+    single = np.arange(256, dtype=np.uint32)
+    for x in langs:
+        own = [_summed(counts[x][0] & np.uint32(mask), counts[x][1]) for mask in (0xFFFFFFFF, 0xFFFFFF, 0xFFFF, 0xFF)]
+        flat, _, _ = _level(single, *own[3], np.full(256, 8.0))
+        two, _, _ = _level(codes[2], *own[2], flat[codes[2] & np.uint32(0xFF)])
+        three, _, e2 = _level(codes[1], *own[1], two[codes[1] & np.uint32(0xFFFF)])
+        four, _, e3 = _level(codes[0], *own[0], three[np.searchsorted(codes[1], codes[0] & np.uint32(0xFFFFFF))])
+        for held, made in zip((*costs, *escapes), (four, three, two, e3, e2), strict=True):
+            held.append(made.astype(np.float32))
+    beside = lambda held, n: np.stack(held, axis=1) if held else np.zeros((n, 0), np.float32)
+    return Model(langs, codes, [beside(h, len(c)) for h, c in zip(costs, codes, strict=True)], contexts, [beside(h, len(c)) for h, c in zip(escapes, contexts, strict=True)])
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse counts of (language, context and symbol) of a task's texts."""
-    total: dict[str, np.ndarray] = {}
+    """Counts of (language, code of four bytes) of a task's texts; sent on whenever many are held."""
+
+    def sent(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            codes, seen = _summed(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(seen.astype(np.int64))], names=["lang", "code", "seen"])
+
+    held: dict[str, list] = {}
+    size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            s = coded(text.encode("utf-8", "surrogatepass"))
-            if len(s) > 1:
-                codes, seen = np.unique(contexts(s) * N + s[1:], return_counts=True)
-                if lang not in total:
-                    total[lang] = np.zeros(N ** (DEPTH + 1), np.int32)
-                total[lang][codes] += seen.astype(np.int32)
-    for lang, counts in total.items():
-        codes = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts[codes].astype(np.int64))], names=["lang", "code", "seen"])
-
-
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, keep_seen: int = KEEP_SEEN) -> Model:
+            found = np.unique(strings(text.encode("utf-8", "surrogatepass")), return_counts=True)
+            held.setdefault(lang, []).append(found)
+            size += len(found[0])
+            if size > HELD:
+                yield from sent(held)
+                held, size = {}, 0
+    yield from sent(held)
+
+
+#: Counts that a task holds before it sends them on.
+HELD = 4_000_000
+
+
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Trees from the non-null (lang, text) rows of ``labelled``: from all of them, or beyond ``rows`` from those whose
-    text hash falls in a share of about that size. What comes to the driver is bounded by N ** 4 counts a language."""
+    text hash falls in a share of about that size. What comes to the driver are the distinct strings of four bytes of
+    those texts, which that number bounds."""
     known = labelled.filter("lang is not null and text is not null and text <> ''").select("lang", "text")
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
     found = known.mapInArrow(_count, "lang string, code bigint, seen bigint").groupBy("lang", "code").agg(F.sum("seen").alias("seen")).toArrow()
-    names = np.array(found.column("lang").to_pylist(), object)
-    codes, seen = found.column("code").to_numpy(), found.column("seen").to_numpy()
-    langs = sorted(set(names))
-    weight = np.zeros(N**DEPTH, np.int64)
-    for lang in langs:  # contexts of three that are frequent in any language get a row in all of them
-        own = names == lang
-        weight = np.maximum(weight, np.bincount(codes[own] // N, seen[own], N**DEPTH).astype(np.int64))
-    kept = np.flatnonzero(weight >= keep_seen)
-    made = [flatten(seen[names == x], codes[names == x], keep_seen, kept) for x in langs]
-    if not made:
-        return Model([], np.zeros((N, 0), np.float32), np.zeros(N**DEPTH, np.int32))
-    return Model(langs, np.stack([rows.reshape(-1) for rows, _ in made], axis=1).copy(), made[0][1])
+    langs = found.column("lang").combine_chunks().dictionary_encode()
+    which = langs.indices.to_numpy(zero_copy_only=False)
+    codes, seen = found.column("code").to_numpy().astype(np.uint32), found.column("seen").to_numpy().astype(np.float64)
+    return grown({x: (codes[which == k], seen[which == k]) for k, x in enumerate(langs.dictionary.to_pylist())})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +209,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null texts, and texts without a letter, are ``und`` with score 0. Equal texts get equal values; rows that repeat are
     kept; null ids stay null; an empty table gives no rows. With nothing learned every text is ``und``.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.langs, model.costs, model.row_of))
+    held = docs.sparkSession.sparkContext.broadcast(model.parts())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +224,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with lang_pred and lang_score as identify() gives them (replaced if there are such columns)."""
-    held = docs.sparkSession.sparkContext.broadcast((model.langs, model.costs, model.row_of))
+    held = docs.sparkSession.sparkContext.broadcast(model.parts())
     own = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
