@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import stored
+
 ROW = 192  # bytes of one image row: 64 pixels of three samples
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 STEP = 500  # images that are in memory at once
@@ -144,37 +146,54 @@ def cosine_hash(payload: bytes) -> bytes:
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
-FIELDS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, media binary, media_hash binary"
+FIELDS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, media_hash binary"
 
 
-def _convert(text: str | None) -> tuple:
-    payload, n = payload_of(text)
-    media = encode_png(payload)
+def _told(n: int, media: bytes) -> tuple:
+    """What the stored bytes of an image read back as; MediaError if they don't, or if they lost the padding."""
     back = decode_png(media)
     if len(back) % ROW or back[n:].strip(b" "):
         raise MediaError("padding lost")
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), media, cosine_hash(back)
-
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(back)
 
-def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """One row a document: its text as a PNG in the binary column ``media``, what the stored bytes read back as, and the
-    64-bit cosine hash in ``media_hash``.
 
-    Null texts are empty; an empty text is one row of 192 spaces. Equal texts give equal values, rows that repeat are
-    kept as they are, a null id stays null, an empty table gives no rows, and other columns are not looked at.
-    Without ``keep_media`` the images stay in the worker and only what was read back from them is returned.
-    """
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, media): each text as a PNG in a binary column, and its length before padding."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [x.split()[0] for x in FIELDS.split(", ")]
-    types = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    fields = [x.split() for x in FIELDS.split(", ") if keep_media or x.split()[0] != "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                found = dict(zip(names, zip(*(_convert(t) for t in part.column(1).to_pylist())), strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[n], types[t]) for n, t in fields)], names=["id", *(n for n, _ in fields)])
+                made = [payload_of(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode_png(p) for p, _ in made], pa.binary())], names=["id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} {t}" for n, t in fields)).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
+
+
+def read_back(images: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """What the images of a table (id, n_bytes, media) read back as, with every checksum tested: their id, FIELDS."""
+    kind = images.schema[id_col].dataType.simpleString()
+    types = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in FIELDS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                told = [_told(n, m) for n, m in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                columns = list(zip(*told, strict=True)) or [()] * len(fields)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True))], names=["id", *(n for n, _ in fields)])
+
+    return images.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(run, f"id {kind}, {FIELDS}").withColumnRenamed("id", id_col)
+
+
+def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: its text is stored as a PNG in the binary column of a table, and this is what the stored bytes
+    read back as, with the 64-bit cosine hash in ``media_hash``. The table stays in the shared folder.
+
+    Null texts are empty; an empty text is one row of 192 spaces. Equal texts give equal values, rows that repeat are
+    kept as they are, a null id stays null, an empty table gives no rows, and other columns are not looked at.
+    """
+    return read_back(stored(encode(docs, id_col, text_col), "media", keep=True), id_col)

@@ -29,7 +29,7 @@ def op1_decontaminate(spark, sf_dir):
 def op2_media(spark, sf_dir):
     """Every text stored as a PNG and read back: digests of payload and image, and the cosine hash as ``feature``."""
     docs = _table(spark, sf_dir, "documents")
-    done = media.to_media(docs, keep_media=False)
+    done = media.to_media(docs)
     return done.withColumn("feature", F.lower(F.hex("media_hash"))).drop("media_hash")
 
 
