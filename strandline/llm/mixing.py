@@ -13,11 +13,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import scoped, stored_and
+
 SEED = 20
-#: The largest rate that is drawn at once; mix_sql() has no draws beyond the first.
+#: The largest rate that is drawn at once.
 MAX_RATE = 16.0
 #: Beyond this count the Poisson tail of MAX_RATE is below 2**-53, the grain of the uniform numbers.
 MAX_COPIES = 80
+#: Sources (a name and MAX_COPIES numbers each) up to so many are broadcast, after they have been counted; more of them are
+#: met by shuffle, each on so many salts, as one source may hold a third of all documents.
+BROADCAST_ROWS, SALTS = 10_000, 64
 
 
 def _uniform(key):
@@ -54,6 +59,7 @@ def _ladder(rate):
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(MAX_COPIES - 1)), lambda k: k.cast("double")), start, step, lambda acc: acc["c"])
 
 
+@scoped
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = SEED, ordered: bool = True) -> DataFrame:
     """The documents replicated to the target mixture, in a global random order.
 
@@ -64,13 +70,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     own = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
     parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     steps = rates(docs, weights, epochs).withColumn("parts", parts)
-    steps = steps.select(F.col("source").alias("__sl_source"), _ladder(F.col("rate") / F.col("parts")).alias("__sl_steps"), F.col("parts").alias("__sl_parts"))
+    steps, n_sources = stored_and(steps.select(F.col("source").alias("__sl_source"), _ladder(F.col("rate") / F.col("parts")).alias("__sl_steps"), F.col("parts").alias("__sl_parts")), "rates", keep=True)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     held = docs.select(*own, F.coalesce(F.col("source"), F.lit("")).alias("__sl_source"), _uniform(F.concat(key, F.lit(f":{seed}:copies"))).alias("__sl_u"))
     count = lambda u: F.size(F.filter("__sl_steps", lambda c: c <= u))
     further = F.transform(F.sequence(F.lit(1), F.col("__sl_parts") - 1), lambda k: count(_uniform(F.concat(key, F.lit(f":{seed}:copies:"), k.cast("string")))))
     n = count(F.col("__sl_u")) + F.when(F.col("__sl_parts") > 1, F.aggregate(further, F.lit(0), lambda a, x: a + x)).otherwise(0)
-    dealt = held.join(steps, "__sl_source").withColumn("__sl_n", n).filter("__sl_n > 0")
+    if n_sources <= BROADCAST_ROWS:
+        met = held.join(F.broadcast(steps), "__sl_source")
+    else:
+        salted = steps.withColumn("__sl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = held.withColumn("__sl_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["__sl_source", "__sl_salt"])
+    dealt = met.withColumn("__sl_n", n).filter("__sl_n > 0")
     dealt = dealt.select(*own, F.explode(F.sequence(F.lit(1), F.col("__sl_n"))).alias("copy_no"))
     place = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}:"), F.col("copy_no").cast("string"))), 1, 13), 16, 10).cast("bigint")
     dealt = dealt.withColumn("shuffle_key", place)
@@ -82,11 +93,15 @@ def mix_sql(docs: str = "documents", seed: int = SEED, columns: str = "doc_id, t
     logs = " ".join(f"when {k} then {math.lgamma(k + 1)!r}" for k in range(MAX_COPIES))
     return f"""
     with size as (select coalesce(source, '') as s, cast(sum(coalesce(length(text), 0)) as double) as chars from {docs} group by 1),
-    rated as (select s, least(case when chars <= 0 then 1.0 else 1.0 / (select count(*) from size) * (select sum(chars) from size) / chars end, {MAX_RATE}) as rate from size),
+    rated as (select s, case when chars <= 0 then 1.0 else 1.0 / (select count(*) from size) * (select sum(chars) from size) / chars end as whole from size),
+    parted as (select s, whole, greatest(cast(ceil(whole / {MAX_RATE}) as bigint), 1) as parts, whole / greatest(ceil(whole / {MAX_RATE}), 1) as rate from rated),
     steps as (select s, k, sum(exp(-rate + k * ln(rate) - case k {logs} end)) over (partition by s order by k) as c
-      from rated, (select unnest(range({MAX_COPIES})) as k)),
-    drawn as (select d.*, coalesce(source, '') as s, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':{seed}:copies'), 1, 13) as bigint) / cast({2**52} as double) as u from {docs} d),
-    counted as (select drawn.*, cast((select count(*) from steps where steps.s = drawn.s and c <= u) as bigint) as n from drawn)
+      from parted, (select unnest(range({MAX_COPIES})) as k)),
+    numbered as (select *, row_number() over () as r, coalesce(source, '') as s from {docs}),
+    drawn as (select r, n.s, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':{seed}:copies' || case j when 0 then '' else ':' || cast(j as varchar) end), 1, 13) as bigint) / cast({2**52} as double) as u
+      from (select r, numbered.s, doc_id, unnest(range(parts)) as j from numbered join parted on numbered.s = parted.s) n),
+    summed as (select r, sum(copies) as n from (select r, (select count(*) from steps where steps.s = drawn.s and c <= u) as copies from drawn) group by r),
+    counted as (select numbered.*, cast(summed.n as bigint) as n from numbered join summed on numbered.r = summed.r)
     select {columns}, cast(k as integer) as copy_no,
       cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':{seed}:' || cast(k as varchar)), 1, 13) as bigint) as shuffle_key
     from (select *, unnest(range(1, n + 1)) as k from counted where n > 0)
