@@ -2,8 +2,8 @@
 
 A lexicon of words and word beginnings is weighed from labelled texts and joined to a short seed list; the features are
 densities of its three grades, how near its words stand to the second person, capitals, punctuation, and spelling that
-hides words. Histogram trees with logistic loss are fitted to one share of the labelled sample, and the pool-adjacent-
-violators algorithm maps their sums to probabilities on another.
+hides words. Histogram trees with logistic loss are fitted to the labelled sample, and the pool-adjacent-violators algorithm
+maps their sums to probabilities, by sums of each fifth under trees of the others.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ SEED_WORDS = ("idiot", "moron", "scum", "clown", "loser", "worthless", "pathetic
 SECOND_PERSON = ("you", "your", "yours", "u", "ur", "du", "dich", "dir", "dein", "deine", "sie", "ihr", "tu", "te", "toi", "ton", "ta", "vous", "votre", "usted", "tú", "ti")
 #: Digits and signs that stand for letters.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": ""})
-#: Documented bounds: labelled rows that anything is learned from, entries of a learned lexicon, and the fewest texts
-#: that must hold an entry.
-TRAIN_ROWS, LEXICON, SUPPORT = 8_000, 4_000, 5
+#: Documented bounds: labelled rows that anything is learned from, which bounds the lexicon too, and the fewest texts that
+#: must hold an entry.
+TRAIN_ROWS, SUPPORT = 8_000, 5
 HEAD, STEMS = 3, (3, 4, 5, 6)
 NEAR = 5  # words
 GRADES = (0.85, 0.6, 0.35)  # shares of toxic texts from which a learned entry counts as grade 0, 1, 2
@@ -88,7 +88,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     hidden = [w for w in lower if not w.isalnum() or not (w.isalpha() or w.isdigit())]
     revealed = sum(w.translate(LOOKALIKE) in SEED_WORDS for w in hidden)
     return [
-        count[0] / n, min(count[0], 50), min(len(kinds[0]), 20), count[1] / n, min(len(kinds[1]), 20), count[2] / n, seeds / n,
+        count[0] / n, count[0], len(kinds[0]), count[1] / n, len(kinds[1]), count[2] / n, seeds / n,
         near / n, capitals / len(text), shouted / n, marks / len(text), text.count("!") / len(text),
         len(hidden) / n, revealed / n, float(np.log1p(n)),
     ]
@@ -201,25 +201,24 @@ def _held(wanted):
     return run
 
 
-def learn_lexicon(labelled: DataFrame, support: int = SUPPORT, entries: int = LEXICON) -> Lexicon:
-    """Grades from (text, toxic) rows: entries held by at least ``support`` toxic texts, by the lower bound (one standard
-    error) of their share of toxic texts, the ``entries`` best. Two passes, so that only what toxic texts hold is shuffled."""
+def learn_lexicon(labelled: DataFrame, support: int = SUPPORT) -> Lexicon:
+    """Grades from (text, toxic) rows: all entries held by at least ``support`` toxic texts, by the lower bound (one standard
+    error) of their share of toxic texts. Two passes, so that only what toxic texts hold is shuffled; the rows are the
+    bounded sample, and so are the entries."""
     rows = labelled.select("text", "toxic")
     marked = rows.mapInArrow(_units, "unit string, toxic bigint").groupBy("unit").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= support)
-    marked = marked.orderBy(F.desc("toxic"), "unit").limit(50 * entries).toArrow()
+    marked = marked.toArrow()
     toxic = dict(zip(marked.column("unit").to_pylist(), marked.column("toxic").to_pylist(), strict=True))
     grades = {}
     if toxic:
         wanted = labelled.sparkSession.sparkContext.broadcast(frozenset(toxic))
         held = rows.mapInArrow(_held(wanted), "unit string, held bigint").groupBy("unit").agg(F.sum("held").alias("held")).toArrow()
-        ranked = []
         for unit, n in zip(held.column("unit").to_pylist(), held.column("held").to_pylist(), strict=True):
             p = (toxic[unit] + 0.5) / (n + 1.5)
             bound = p - (p * (1 - p) / n) ** 0.5
             grade = next((i for i, least in enumerate(GRADES) if bound >= least), None)
             if grade is not None:
-                ranked.append((grade, -bound, unit))
-        grades = {unit: grade for grade, _, unit in sorted(ranked)[:entries]}
+                grades[unit] = grade
     return Lexicon(grades | dict.fromkeys(SEED_WORDS, 0))
 
 
@@ -237,8 +236,8 @@ def _features_of(held):
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from rows (text, toxic) with a non-null label: all, or beyond ``rows`` those whose text hash falls in a
     share of about that size. The features that the trees see come from a lexicon of the other half, so that no text is
-    graded by entries that its own label made; the lexicon that is kept comes from both halves. Four fifths fit the trees
-    and the rest the calibration."""
+    graded by entries that its own label made; the lexicon that is kept comes from both halves. The calibration is fitted to
+    scores of each fifth by trees of the other four, so that all rows serve it; the trees that are kept are of all rows."""
     known = labelled.filter("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
     n = known.count()
     if n > rows:
@@ -249,9 +248,12 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     found = known.select("text", "toxic", "part").mapInArrow(_features_of(held), "toxic int, part int, x array<double>").toArrow()
     y, part = (np.array(found.column(c).to_pylist(), float) for c in ("toxic", "part"))
     x = np.array(found.column("x").to_pylist(), float).reshape(len(y), len(FEATURES))
-    fit = part < 8
-    trees = Trees().fit(x[fit], y[fit])
-    return Model(learn_lexicon(known), trees, Isotonic().fit(trees.decide(x[~fit]), y[~fit]))
+    apart = np.zeros(len(y))
+    for fifth in range(5):
+        own = part // 2 == fifth
+        if own.any():
+            apart[own] = Trees().fit(x[~own], y[~own]).decide(x[own])
+    return Model(learn_lexicon(known), Trees().fit(x, y), Isotonic().fit(apart, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
