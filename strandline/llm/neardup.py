@@ -20,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bucket_components, components, merged, small, stored
+from strandline.llm.common import batches, bucket_components, components, merged, scoped, small, stored
 
 T, R = 128, 4  # coordinates, and coordinates to a band: at similarity 0.8 a pair misses all 32 bands once in 2e7
 BLOCK = 128  # sets that are compared with as many others at once
 #: Candidate ids up to so many are broadcast to pick their texts, after they have been counted.
 BROADCAST_ROWS = 500_000
+#: Ids of the sets that pairs ask for are broadcast up to so many, after they have been counted.
+PAIR_ROWS = 500_000
+STEPS = 4  # parts in which bands are compared with their heads, one after another
+PAIRS_AT_ONCE = 256  # pairs of sets that a worker is handed at once
 SALT_ROWS = 500  # pairs of one representative that go to one task together
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,9 +159,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     hot = pairs.groupBy("b").agg(F.floor(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     dealt = pairs.join(hot, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts") + 1).cast("int")).drop("salts")
+    # a later round asks for few sets: only those are moved
+    sets = sets.join(small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), PAIR_ROWS), "id", "left_semi")
     rights = sets.withColumnRenamed("id", "b").withColumnRenamed("set", "set_b").join(hot, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts")))).drop("salts")
     met = dealt.join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "set_a"), "a").join(rights, ["b", "salt"])
-    return met.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    with batches(pairs.sparkSession, PAIRS_AT_ONCE):
+        return stored(met.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
 def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -217,7 +224,8 @@ def _between(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # pairs of blocks are dealt by themselves, so a group is spread over all tasks
     joined = met.join(first, ["grp", "block_a"]).join(second, ["grp", "block_b"])
-    return joined.select("rows_a", "rows_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    with batches(now.sparkSession, 1):
+        return stored(joined.select("rows_a", "rows_b").mapInArrow(run, "a bigint, b bigint").distinct(), "block-links")
 
 
 def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -240,7 +248,7 @@ def links(docs: DataFrame, width: int, percent: int = 80, id_col: str = "doc_id"
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     members = stored(shared.join(weight, "node").select("key", "band", "node", F.lit(0).alias("sig"), "weight"), "members")
     sets = stored(_sets(docs, weight.select(F.col("node").alias("id")), width, id_col, text_col), "sets")
-    comps = bucket_components(members, lambda pairs: _verified(pairs, sets, percent), rest=lambda now: _between(now, sets, percent), rounds=1)
+    comps = bucket_components(members, lambda pairs: _verified(pairs, sets, percent), rest=lambda now: _between(now, sets, percent), rounds=1, steps=STEPS)
     found = found.join(classes.select("set_key", "node"), "set_key", "left")
     # rows that share an id are one document: their classes are linked, and a row without shingles goes with them
     shared_ids = found.filter("id is not null").groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), F.count("node").alias("m"))
@@ -250,6 +258,7 @@ def links(docs: DataFrame, width: int, percent: int = 80, id_col: str = "doc_id"
     return found.withColumn("node", F.coalesce("node", "least")).drop("least"), comps
 
 
+@scoped
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row.
 
@@ -261,4 +270,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found, comps = links(docs, width, percent, id_col, text_col)
     joined = found.select("id", "n_shingles", "node").join(comps, "node", "left")
     comp = F.coalesce("comp", "node", "id")
-    return joined.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    joined = joined.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    return stored(joined, "near-duplicates", keep=True)
