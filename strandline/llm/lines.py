@@ -1,62 +1,65 @@
 """Line dedup: fuzzy lines, with DataFrame functions alone.
 
-Lines are normalised to their words. Equal ones are one node by their 64-bit hash, counted before anything is joined.
-Each node has a 64-bit SimHash of its words; two nodes are candidates if at most K bits differ. By the pigeonhole
-principle they then agree on at least B - K of B blocks, so all choices of B - K blocks are the join keys, and none is
-missed. Candidates are verified by edit similarity over words, and one occurrence of each connected group is kept.
-
-Without a SimHash condition (``k`` None, as in op8_lines and the pipeline) edit similarity alone links: a line that t edits
-are allowed in is cut into t + 1 segments, one of which any line within t edits holds unchanged, so a segment as a run of
-words is the join key and no link is missed.
+Lines are normalised to their words, and equal ones are one node before anything is compared. Each node has a 64-bit
+SimHash of its words, in which a word weighs by the square of its length, so that short and common words, which most lines
+share, do not decide the bits. Two nodes are candidates if at most K bits differ: by the pigeonhole principle they then
+agree on at least B - K of B blocks of bits, so all choices of B - K blocks are join keys, and none is missed.
+
+K of 64 bits are little for a short line, so the same is done with blocks of words: two lines of the same length, or of
+lengths one apart, are linked too if they agree on all of B blocks of words but one, where a block has no more words than
+the edits that the line is allowed. That holds every pair of lines a single edit apart. Candidates by bits are verified by
+edit similarity over words, and one occurrence of each connected group is kept.
+
+All lines of a bucket of words differ within one block alone, and so are links of each other: each is drawn to the least of
+them. Buckets of bits may hold lines that are no links: those of two nodes are one pair, larger ones name heads, and what
+is then left in different components is compared pair by pair, in buckets that are cut by more bits where many are left.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bucket_components, small, stored, words
+from strandline.llm.common import bucket_components, merged, scoped, small, stored, stored_and
 
 BITS, K = 64, 3
 SIMILARITY = 0.8
-#: Tables of repeated lines or of candidates up to so many rows are broadcast, after they have been counted.
-BROADCAST_ROWS = 400_000
-_LANES = 0x0101010101010101
-#: Hashes of shared runs up to so many (8 bytes and a count each) are broadcast, after they have been counted.
-RUN_ROWS = 3_000_000
-#: Runs of words in more rows than these are met by cells of length and place.
-HOT_ROWS = 64
-_CHUNK = 127  # words that a lane of eight bits can count without touching the sign
+#: Words of fewer letters weigh nothing, and letters beyond the second number add nothing.
+FEW_LETTERS, LETTERS = 4, 16
+#: Tables up to so many rows are broadcast, after they have been counted: of a key and a place each, and of one key.
+BROADCAST_ROWS, KEY_ROWS = 300_000, 2_000_000
+#: Left-over buckets of more nodes than these are cut by more bits before their nodes are compared pair by pair.
+HOT_NODES = 16
+_LANES, _HALF = 0x0000000100000001, 0xFFFFFFFF
+_GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def simhash(w: Column) -> Column:
-    """The SimHash of an array of words: a bit is set if more than half of the words' hashes have it.
+def simhashes(nodes: DataFrame) -> DataFrame:
+    """(node, sig) of distinct lines (node, line): a bit is set if words of more than half the weight have it. Lines without
+    a word of FEW_LETTERS have no SimHash.
 
-    Hashes are added up in eight longs of eight lanes for each 127 words, and those are unpacked and added up.
+    Hashes are added up in 32 longs of two lanes, each for up to 2^24 words of full weight.
     """
-    lanes = F.lit(_LANES)
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(f"s{j}") for j in range(8)))
-    step = lambda a, h: F.struct(*((a[f"s{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(lanes)).alias(f"s{j}") for j in range(8)))
-    # bit b is in long b % 8, lane b // 8
-    unpack = lambda a: F.array(*(F.shiftrightunsigned(a[f"s{b % 8}"], 8 * (b // 8)).bitwiseAND(F.lit(255)) for b in range(BITS)))
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / _CHUNK).cast("int")), lambda k: F.slice(hashes, k * _CHUNK + 1, _CHUNK))
-    counts = F.aggregate(chunks, F.array_repeat(F.lit(0).cast("bigint"), BITS), lambda acc, c: F.zip_with(acc, F.aggregate(c, zero, step, unpack), lambda x, y: x + y))
-    half = F.size(w)
-    packed = F.aggregate(counts, F.struct(F.lit(0).cast("bigint").alias("bits"), F.lit(1).cast("bigint").alias("bit")), lambda a, n: F.struct(F.when(n * 2 > half, a["bits"].bitwiseOR(a["bit"])).otherwise(a["bits"]).alias("bits"), F.shiftleft(a["bit"], 1).alias("bit")), lambda a: a["bits"])
-    return F.when(F.size(w) > 0, packed)
+    word = nodes.select("node", F.explode(F.split("line", " ")).alias("x")).filter(F.length("x") >= FEW_LETTERS)
+    letters = F.least(F.length("x"), F.lit(LETTERS)).cast("bigint")
+    h = word.select("node", F.xxhash64("x").alias("h"), (letters * letters).alias("q"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES)) * F.col("q")).alias(f"s{j}") for j in range(BITS // 2)]
+    counted = h.groupBy("node").agg(F.sum("q").alias("n"), *sums)
+    lanes = [F.col(f"s{j}").bitwiseAND(F.lit(_HALF)) for j in range(BITS // 2)] + [F.shiftrightunsigned(f"s{j}", 32) for j in range(BITS // 2)]
+    bits = [F.when(lane * 2 > F.col("n"), F.lit(_signed(1 << b))).otherwise(F.lit(0)) for b, lane in enumerate(lanes)]
+    return counted.select("node", reduce(lambda x, y: x.bitwiseOR(y), bits).cast("bigint").alias("sig"))
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, at, w): the lines of each text that have words, by number from 0; row: the text's hash."""
-    cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
-    return cut.select("id", "row", "at", words(F.col("line")).alias("w")).filter(F.size("w") > 0)
-
-
-def line_key(w: Column) -> Column:
-    return F.xxhash64(F.array_join(w, " "))
+    """(id, row, at, node, m, line): the lines of each text that have words, by number from 0, as their m words in lower
+    case with single spaces, and the hash of that; row: the text's hash."""
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.regexp_replace(F.lower(text_col), _GAP, " ").alias("t"))
+    cut = plain.select("id", "row", F.posexplode(F.split("t", "\n")).alias("at", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    m = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return cut.select("id", "row", "at", F.xxhash64("line").alias("node"), m.alias("m"), "line")
 
 
 def masks(lines: int, k: int = K) -> list[int]:
@@ -73,149 +76,145 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _coded(w: Column) -> Column:
-    """Words as one character each (20,000 kinds by hash), so that edits of words are edits of characters."""
-    return _characters(_codes(w))
+OF_BITS, OF_WORDS = 0, 1  # what the last bit of a key says
 
 
-def _codes(w: Column) -> Column:
-    return F.transform(w, lambda x: (F.pmod(F.xxhash64(x, F.lit(8)), F.lit(20_000)) + 0x4E00).cast("int"))
+def _kind() -> Column:
+    return F.col("key").bitwiseAND(F.lit(1))
 
 
-def _characters(codes: Column) -> Column:
-    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda x: F.hex(x)), "")), "UTF-16BE")
+def _of_kind(key: Column, kind: int) -> Column:
+    return key.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(kind))
 
 
-def _verifier(texts: DataFrame, similarity: float):
-    """Those pairs (a, b) whose ``texts`` (node, coded) have at least the edit similarity."""
+def bit_keys(sigs: DataFrame, lines: int, k: int = K) -> DataFrame:
+    """``sigs`` (sig and other columns) with a key for each choice of blocks of bits."""
+    keys = [_of_kind(F.xxhash64(F.col("sig").bitwiseAND(F.lit(_signed(m))), F.lit(c)), OF_BITS) for c, m in enumerate(masks(lines, k))]
+    return sigs.select("*", F.explode(F.array(*keys)).alias("key"))
 
-    def verify(pairs):
-        met = pairs.join(texts.select(F.col("node").alias("a"), F.col("coded").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("coded").alias("y")), "b")
-        longest = "greatest(length(x), length(y))"
-        most = f"cast(floor((1 - {similarity}) * {longest} + 1e-9) as int)"
-        return met.filter(f"abs(length(x) - length(y)) <= {most}").filter(f"levenshtein(x, y, {most}) between 0 and {most}").select("a", "b")
 
-    return verify
+def edits_allowed(n: Column, similarity: float) -> Column:
+    """Of the longer of two lines of words."""
+    return F.floor((1 - similarity) * n + 1e-9).cast("int")
+
 
+def word_keys(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, node) of lines (node, m, line): a hash of all words outside each block, for the line's length and, as the
+    shorter line of a pair, for one word more. A block has no more words than edits are allowed."""
+    n_blocks = lambda n: F.when(edits_allowed(n, similarity) > 0, F.ceil(n / F.greatest(edits_allowed(n, similarity), F.lit(1))).cast("int")).otherwise(0)
+    m = F.col("m")
+    asked = lines.select("node", "line", "m", n_blocks(m).alias("own"), n_blocks(m + 1).alias("more")).filter("own + more > 0")
+    each = asked.select("node", "line", "m", "own", "more", F.explode(F.sequence(F.lit(0), F.col("own") + F.col("more") - 1)).alias("x"))
+    as_own = F.col("x") < F.col("own")
+    each = each.select("node", "line", F.when(as_own, F.col("m")).otherwise(F.col("m") + 1).alias("n"), F.when(as_own, F.col("own")).otherwise(F.col("more")).alias("b"), F.when(as_own, F.col("x")).otherwise(F.col("x") - F.col("own")).alias("i"))
+    before = F.floor(F.col("i") * F.col("n") / F.col("b")).cast("int")
+    after = F.col("n") - F.floor((F.col("i") + 1) * F.col("n") / F.col("b")).cast("int")
+    part = lambda count: F.call_function("substring_index", F.col("line"), F.lit(" "), count)
+    return each.select(_of_kind(F.xxhash64("n", "i", part(before), part(-after)), OF_WORDS).alias("key"), "node")
 
-def edits_allowed(n: int, similarity: float) -> int:
-    return int((1 - similarity) * n + 1e-9)
 
+def _codes(line: Column) -> Column:
+    """Words as one character each (20,000 kinds by hash), so that edits of words are edits of characters."""
+    return _characters(F.transform(F.split(line, " "), lambda x: (F.pmod(F.xxhash64(x, F.lit(8)), F.lit(20_000)) + 0x4E00).cast("int")))
 
-def run_widths(similarity: float, most: int = 400) -> list[tuple[int, list[int]]]:
-    """(words from which on, widths of runs) that a line must offer: those of the segments of every line as long or longer
-    that it can be linked with. Widths stay as they are at the end of the list."""
-    width = lambda n: n // (edits_allowed(n, similarity) + 1)
-    out: list[tuple[int, list[int]]] = []
-    for n in range(1, most):
-        longer = [m for m in range(n, int(n / similarity) + 2) if m - edits_allowed(m, similarity) <= n]
-        asked = sorted({width(m) for m in longer if edits_allowed(m, similarity)})
-        if not out or out[-1][1] != asked:
-            out.append((n, asked))
-    return out
+
+def _characters(codes: Column) -> Column:
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda x: F.hex(x)), "")), "UTF-16BE")
 
 
-def edit_groups(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, comp): connected groups of distinct lines (key, codes) by edit similarity alone, none missed; lines without a
-    link are left out.
+def _verifier(texts: DataFrame, similarity: float):
+    """Those pairs (a, b) whose ``texts`` (node, line, coded) have at least the edit similarity over words.
 
-    The longer line of a pair has t + 1 segments, the other every run of their width; an unchanged segment stands in both,
-    and what its places differ by, before and after it, are edits too.
+    Edits of codes are never more than those of words. Where words of one pair share a code, the words of that pair are
+    numbered, so that the edits of numbers decide (pairs of up to 20,000 different words, else codes do).
     """
-    allowed = lambda n: F.floor((1 - similarity) * n + 1e-9)
-    n = F.size("codes")
-    widths, most = F.array().cast("array<int>"), max((q for _, asked in run_widths(similarity) for q in asked), default=1)
-    for start, asked in run_widths(similarity):
-        widths = F.when(n >= start, F.array(*map(F.lit, asked)).cast("array<int>")).otherwise(widths)
-    wide = nodes.select(F.col("key").alias("node"), "codes", n.alias("n"), F.explode(widths).alias("q")).filter("q > 0 and n >= q")
-    own = F.floor(F.col("n") / (allowed(F.col("n")) + 1))
-    is_segment = lambda at: (F.col("q") == own) & (at % F.col("q") == 0) & (at / F.col("q") <= allowed(F.col("n"))) & (allowed(F.col("n")) > 0)
-    runs = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("q")), lambda i: F.xxhash64(F.col("q"), *(F.when(F.col("q") > j, F.get("codes", i + j)) for j in range(most))))
-    keyed = wide.select("node", "n", "q", F.posexplode(runs).alias("at", "key"))
-    # length, place and whether it is a segment, in one number
-    sig = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at") * 2 + is_segment(F.col("at")).cast("int")
-    keyed = keyed.select("key", "node", sig.alias("sig"))
-    # which runs stand in two places, one of them a segment: counted by 40 bits of the hash, so that little is shuffled
-    slot = F.shiftrightunsigned("key", 24)
-    counted = keyed.select(slot.alias("slot"), (F.col("sig") % 2 * (1 << 40) + 1).alias("one")).groupBy("slot").agg(F.sum("one").alias("rows"))
-    full = counted.filter(f"rows > {1 << 40} and rows % {1 << 40} > 1").select("slot", (F.col("rows") % (1 << 40)).alias("rows"))
-    full = stored(full, "line-runs")
-    met = stored(keyed.withColumn("slot", slot).join(small(full, RUN_ROWS), "slot").drop("slot"), "line-met")
-    # lines that can be linked are of the same or the next cell of length, and their places of the same or the next cell
-    length, place = F.shiftright("sig", 32), F.shiftright(F.col("sig").bitwiseAND(F.lit((1 << 32) - 1)), 1)
-    base = 1.0001 / similarity
-    cell = F.floor(F.log(length.cast("double")) / F.log(F.lit(base)))
-    hot = met.filter(F.col("rows") > HOT_ROWS).withColumn("c", F.explode(F.array(cell, cell + 1)))
-    at_cell = F.floor(place / (F.lit(1 - similarity) * F.pow(F.lit(base), F.col("c") + 1) + 2))
-    hot = hot.withColumn("d", F.explode(F.array(at_cell, at_cell + 1))).withColumn("key", F.xxhash64("key", "c", "d"))
-    cold = met.filter(F.col("rows") <= HOT_ROWS)
-    members = cold.select("key", "node", "sig").unionByName(hot.select("key", "node", "sig"))
-    members = stored(members.select("key", F.pmod("key", F.lit(4)).cast("int").alias("band"), "node", "sig", F.lit(0).alias("weight")), "line-members")
-    texts = stored(nodes.select(F.col("key").alias("node"), "codes").join(members.select("node").distinct(), "node", "left_semi").select("node", _characters(F.col("codes")).alias("coded")), "line-texts")
-
-    def near(a, b):
-        la, lb = F.shiftright(a, 32), F.shiftright(b, 32)
-        pa, pb = (F.shiftright(x.bitwiseAND(F.lit((1 << 32) - 1)), 1) for x in (a, b))
-        within = F.abs(pa - pb) + F.abs((la - pa) - (lb - pb)) <= allowed(F.greatest(la, lb))
-        return within & (((la >= lb) & (a % 2 == 1)) | ((lb >= la) & (b % 2 == 1)))
-
-    return bucket_components(members, _verifier(texts, similarity), near)
-
-
-def fuzzy_groups(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, comp): connected groups of distinct lines (key, sig) by verified links; lines without a link are left out."""
-    n = nodes.count()
-    choices = F.array(*(F.xxhash64(F.col("sig").bitwiseAND(F.lit(_signed(m))), F.lit(c)) for c, m in enumerate(masks(n, k))))
-    keyed = nodes.select(F.col("key").alias("node"), F.posexplode(choices).alias("band", "key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    # the hashes are added to those rows alone that share a bucket
-    sigs = nodes.select(F.col("key").alias("node"), "sig")
-    members = stored(keyed.join(full, "key").join(sigs, "node").select("key", "band", "node", "sig", F.lit(0).alias("weight")), "line-buckets")
-
-    def near(a, b):
-        return F.bit_count(a.bitwiseXOR(b)) <= k
-
-    # who has a neighbour at all: links by SimHash alone, before any text is fetched
-    close = bucket_components(members, lambda pairs: pairs, near)
-    wanted = stored(close.select("node"), "line-candidates")
-    lines = split_lines(docs, id_col, text_col).select(line_key(F.col("w")).alias("node"), "w")
-    texts = lines.join(small(wanted, BROADCAST_ROWS), "node", "left_semi").select("node", _coded(F.col("w")).alias("coded"))
-    texts = stored(texts.groupBy("node").agg(F.first("coded").alias("coded")), "line-texts")
-
-    return bucket_components(stored(members.join(wanted, "node", "left_semi"), "line-members"), _verifier(texts, similarity), near)
-
-
-def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, k: int | None = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, drops): for each text that loses lines their numbers."""
-    what = _codes(F.col("w")).alias("codes") if k is None else simhash(F.col("w")).alias("sig")
-    occurrences = split_lines(docs, id_col, text_col).select("id", "row", "at", line_key(F.col("w")).alias("key"), what)
-    occurrences = stored(occurrences, "lines")
-    held = "sig" if k is not None else "codes"
-    place = F.struct("id", "row", "at")
-    nodes = stored(occurrences.groupBy("key").agg(F.first(held).alias(held), F.min(place).alias("first"), F.count("*").alias("n")), "line-nodes")
-    comps = edit_groups(nodes.select("key", "codes"), similarity) if k is None else fuzzy_groups(docs, nodes.select("key", "sig"), similarity, k, id_col, text_col)
-    grouped = nodes.drop(held).join(comps.withColumnRenamed("node", "key"), "key", "left").filter("comp is not null or n > 1").withColumn("comp", F.coalesce("comp", "key"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        own = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"l{c}"), F.col("coded").alias(f"c{c}"))
+        most = f"cast(floor((1 - {similarity}) * greatest(length(ca), length(cb)) + 1e-9) as int)"
+        met = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
+        # as many places that differ are edits enough; only where they are more is the edit distance taken
+        apart = f"case when length(ca) = length(cb) then size(filter(zip_with(split(ca, ''), split(cb, ''), (x, y) -> x <> y), d -> d)) end"
+        met = met.filter(f"abs(length(ca) - length(cb)) <= {most}").filter(f"coalesce({apart} <= {most}, false) or levenshtein(ca, cb, {most}) between 0 and {most}")
+        met = met.withColumn("wa", F.split("la", " ")).withColumn("wb", F.split("lb", " "))
+        kinds = F.array_distinct(F.concat("wa", "wb"))
+        numbered = lambda w: _characters(F.transform(w, lambda x: (F.array_position(kinds, x) + 0x4E00).cast("int")))
+        alike = F.size(kinds) == F.size(F.array_distinct(F.split(F.concat("ca", "cb"), "")))
+        sure = F.when(alike | (F.size(kinds) > 20_000), F.lit(True)).otherwise(F.levenshtein(numbered(F.col("wa")), numbered(F.col("wb"))) <= F.expr(most))
+        return met.filter(sure).select("a", "b")
+
+    return verify
+
+
+@scoped
+def line_groups(lines: DataFrame, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
+    """(key, keeper): for each distinct line that stands in several places of ``lines`` (as split_lines() has them), or is
+    linked with others, the first place (id, row, at) of its connected group."""
+    spark = lines.sparkSession
+    # a line of fewer words has no edits to spend, not even as the shorter of two
+    least = next((m for m in range(1, 1000) if int((1 - similarity) * (m + 1) + 1e-9) > 0), 1000) if similarity < 1 else 1 << 30
+    worded = lines.filter(F.col("m") >= least).select("node", "m", "line")
+    sigs, n = stored_and(simhashes(worded.groupBy("node").agg(F.first("line").alias("line"))), "line-hashes")
+    keyed = bit_keys(sigs, n, k).select("key", "node").unionByName(word_keys(worded, similarity))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    buckets = stored(buckets, "line-buckets")
+    # buckets of more than two are few: their keys pick their nodes, from the hashes or from the lines again
+    wide = stored(buckets.filter("n > 2").select("key", "lo"), "line-wide")
+    drawn = word_keys(worded, similarity).join(small(wide.filter(_kind() == OF_WORDS), KEY_ROWS), "key").filter("lo < node")
+    by_bits = bit_keys(sigs, n, k).join(small(wide.filter(_kind() == OF_BITS).select("key"), KEY_ROWS), "key", "left_semi")
+    members = stored(by_bits.select("key", F.pmod(F.shiftright("key", 1), F.lit(4)).cast("int").alias("band"), "node", "sig", F.lit(0).alias("weight")), "line-members")
+    two = buckets.filter("n = 2").select("key", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    sure = two.filter(_kind() == OF_WORDS).select("a", "b").unionByName(drawn.select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    comps = merged(spark.createDataFrame([], "node bigint, comp bigint"), sure.distinct())
+    own = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= k
+    close = two.filter(_kind() == OF_BITS).join(own("a"), "a").join(own("b"), "b").filter(near(F.col("sig_a"), F.col("sig_b")))
+    pairs = stored(close.select("a", "b").distinct(), "line-pairs")
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct(), "line-asked")
+    texts = worded.join(small(asked, KEY_ROWS), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+    verify = _verifier(stored(texts.withColumn("coded", _codes(F.col("line"))), "line-texts"), similarity)
+
+    def rest(now: DataFrame) -> DataFrame:
+        sized = now.join(now.groupBy("key").agg(F.count("*").alias("n")), "key")
+        finer = bit_keys(sized.filter(F.col("n") > HOT_NODES).select("node", "sig", "comp").distinct(), 1 << 40, k)
+        rows = sized.filter(F.col("n") <= HOT_NODES).select("key", "node", "sig", "comp").unionByName(finer.select("key", "node", "sig", "comp"))
+        other = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("sig").alias("b_sig"))
+        left = rows.join(other, "key").filter("comp < b_comp").filter(near(F.col("sig"), F.col("b_sig")))
+        return verify(left.select(F.col("node").alias("a"), "b").distinct())
+
+    comps = merged(comps, verify(pairs))
+    comps = bucket_components(members, verify, near, rest, known=comps)
+    nodes = lines.groupBy("node").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("n"))
+    grouped = nodes.join(comps, "node", "left").filter("comp is not null or n > 1").withColumn("comp", F.coalesce("comp", "node"))
+    grouped = stored(grouped, "line-grouped")
     keepers = grouped.groupBy("comp").agg(F.min("first").alias("keeper"))
-    marked = stored(grouped.join(keepers, "comp").select("key", "keeper"), "line-groups")
-    dropped = occurrences.drop(held).join(small(marked, BROADCAST_ROWS), "key").filter(~place.eqNullSafe(F.col("keeper")))
-    return stored(dropped.groupBy("id", "row").agg(F.collect_set("at").alias("drops")), "line-drops")
+    return stored(grouped.join(keepers, "comp").select(F.col("node").alias("key"), "keeper"), "line-groups", keep=True)
+
+
+@scoped
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, drops): for each text that loses lines their numbers."""
+    lines = stored(split_lines(docs, id_col, text_col), "lines")
+    groups = line_groups(lines, similarity, k)
+    places = lines.select("id", "row", "at", F.col("node").alias("key"))
+    dropped = places.join(small(groups, BROADCAST_ROWS), "key").filter(~F.struct("id", "row", "at").eqNullSafe(F.col("keeper")))
+    return stored(dropped.groupBy("id", "row").agg(F.collect_set("at").alias("drops")), "line-drops", keep=True)
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, k: int | None = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated lines taken out of the text, and n_lines and n_dropped (bigint; replaced if the
     input has columns of these names).
 
     Lines are what stands between line feeds. Those without a word are kept. Of each group of equal or linked lines the
-    occurrence in the smallest (id, text hash, line number) is kept; a null id comes first. Linked: SimHashes of words
-    that differ in at most ``k`` of 64 bits (with ``k`` None any), and 1 - edits / words of the longer at least
-    ``similarity``. Rows that
-    repeat id and text are one occurrence and lose the same lines. Null texts stay null, empty texts empty, and an empty
-    table has no rows.
+    occurrence in the smallest (id, text hash, line number) is kept; a null id comes first. Linked: 1 - edits / words of
+    the longer at least ``similarity``, and either SimHashes of words that differ in at most ``k`` of 64 bits, or words
+    that differ within one block alone (see word_keys). Rows that repeat id and text are one occurrence and lose the same lines.
+    Null texts stay null, empty texts empty, and an empty table has no rows.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     drops = repeated_lines(docs, similarity, k, id_col, text_col)
     held = docs.select(*own, F.xxhash64(text_col).alias("__sl_row"))
-    gone = small(drops.select(F.col("id").alias("__sl_id"), F.col("row").alias("__sl_row2"), F.col("drops").alias("__sl_drops")), BROADCAST_ROWS)
+    gone = drops.select(F.col("id").alias("__sl_id"), F.col("row").alias("__sl_row2"), F.col("drops").alias("__sl_drops"))
     joined = held.join(gone, F.col(id_col).eqNullSafe(F.col("__sl_id")) & (F.col("__sl_row") == F.col("__sl_row2")), "left")
     cut = F.split(text_col, "\n")
     left = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("__sl_drops", i)), "\n")

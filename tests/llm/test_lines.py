@@ -8,8 +8,8 @@ from strandline.llm import lines as L
 def simhash(words):
     import xxhash
 
-    hs = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    hs = [(xxhash.xxh64(w.encode(), seed=42).intdigest(), min(len(w), 16) ** 2) for w in words if len(w) >= 4]
+    return None if not hs else sum(1 << b for b in range(64) if 2 * sum((h >> b & 1) * q for h, q in hs) > sum(q for _, q in hs))
 
 
 def edits(a, b):
@@ -22,9 +22,22 @@ def edits(a, b):
     return row[-1]
 
 
-def brute(rows):
-    """Cleaned texts, by all pairs of distinct lines."""
-    places = {}
+def one_block(a, b):
+    """Whether two lines agree on all blocks of words but one, blocks of the longer, or of lines of a word more."""
+    n, m = max(len(a), len(b)), min(len(a), len(b))
+    for size in {n, n + 1} if n == m else {n} if n == m + 1 else ():
+        allowed = int(0.2 * size + 1e-9)
+        blocks = -(-size // allowed) if allowed else 0
+        for i in range(blocks):
+            before, after = i * size // blocks, size - (i + 1) * size // blocks
+            if a[:before] == b[:before] and a[len(a) - after :] == b[len(b) - after :]:
+                return True
+    return False
+
+
+def brute(rows, alone=False):
+    """Cleaned texts, by all pairs of distinct lines, and how many pairs are linked; ``alone``: by edit similarity alone."""
+    places, linked = {}, 0
     for d, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             w = tuple(line.lower().replace(".", " ").split())
@@ -35,18 +48,20 @@ def brute(rows):
     top = lambda x: top(up[x]) if x in up else x
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if (hashes[a] ^ hashes[b]).bit_count() <= 3 and edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) and top(a) != top(b):
-                up[top(a)] = top(b)
+            if (alone or None not in (hashes[a], hashes[b]) and (hashes[a] ^ hashes[b]).bit_count() <= 3 or one_block(a, b)) and edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                linked += 1
+                if top(a) != top(b):
+                    up[top(a)] = top(b)
     groups = {}
     for k in keys:
         groups.setdefault(top(k), set()).update(places[k])
     drop = {p for g in groups.values() for p in g - {min(g)}}
-    return {d: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in drop) for d, t in rows}, any(up)
+    return {d: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in drop) for d, t in rows}, linked
 
 
 def test_against_brute_force(spark):
     rng = random.Random(2)
-    vocab = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(400)]
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.choice((3, 4, 7)))) for _ in range(400)]
     base = [rng.choices(vocab, k=rng.choice([3, 12, 60, 300])) for _ in range(25)]
 
     def line():
@@ -76,29 +91,72 @@ def test_odd_rows(spark, odd, none):
     assert by[1].n_dropped == 0 and by[4].text == "" and by[4].n_dropped == 2
     assert by[2].text is None and by[6].text == "%%% --- ..."
     assert L.dedup_lines(none).count() == 0
-    hashed = spark.createDataFrame([(["a"] * 300 + ["b"] * 299,)], "w array<string>").select(L.simhash(F.col("w"))).first()[0]
-    assert hashed & (2**64 - 1) == simhash(["a"] * 300 + ["b"] * 299)
+    hashed = L.simhashes(spark.createDataFrame([(1, " ".join(["abcd"] * 300 + ["bcde"] * 299 + ["x"] * 50))], "node bigint, line string")).first().sig
+    assert hashed & (2**64 - 1) == simhash(["abcd"] * 300 + ["bcde"] * 299 + ["x"] * 50)
 
 
-def test_edit_similarity_alone(spark, monkeypatch):
-    rng = random.Random(5)
-    vocab = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(300)]
+def edited(rng, vocab, sizes):
+    """Lines of the given numbers of words, and copies of each with up to one edit more than is allowed."""
     lines = []
-    for n in (4, 5, 6, 9, 10, 14, 20, 33, 60):
+    for n in sizes:
         base = rng.choices(vocab, k=n)
         lines.append(base)
-        for edits_made in range(1, n // 5 + 2):  # up to one edit too many
+        for made in range(1, n // 5 + 2):
             w = list(base)
-            for _ in range(edits_made):
+            for _ in range(made):
                 at, kind = rng.randrange(len(w)), rng.random()
                 w[at : at + (kind < 0.7)] = [rng.choice(vocab)] * (kind < 0.5 or kind >= 0.7)
             lines.append(w)
-    rows = [(d, " ".join(w)) for d, w in enumerate(lines)]
-    monkeypatch.setattr(L, "HOT_ROWS", 3)
-    monkeypatch.setitem(globals(), "simhash", lambda words: 0)  # brute() without a SimHash condition
-    want, fuzzy = brute(rows)
+    return [(d, " ".join(w)) for d, w in enumerate(lines)]
+
+
+def test_edits_of_all_lengths(spark):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.choice((3, 4, 7)))) for _ in range(300)]
+    rows = edited(rng, vocab, (4, 5, 6, 9, 10, 14, 20, 33, 60, 120) * 3)
+    want, linked = brute(rows)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.text for r in L.dedup_lines(docs, k=None).collect()}
-    assert fuzzy and got == want
-    tight = {r.doc_id: r.text for r in L.dedup_lines(docs).collect()}
-    assert sum(x == "" for x in tight.values()) < sum(x == "" for x in got.values())
+    assert linked > 30 and {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == want
+
+
+def test_lines_one_edit_apart_are_all_found(spark):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.choice((3, 4, 7)))) for _ in range(300)]
+    rows = []
+    for n in range(5, 60, 3):
+        base = rng.choices(vocab, k=n)
+        at = rng.randrange(n)
+        rows += [base, base[:at] + base[at + 1 :], base[:at] + ["new"] + base[at:], base[:at] + ["other"] + base[at + 1 :]]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in L.dedup_lines(docs).collect()}
+    assert [d for d, t in got.items() if t] == list(range(0, len(rows), 4))
+
+
+def test_words_that_share_a_code(spark):
+    """Of 150,000 words several share each of 20,000 codes; two lines of words that differ but share all codes are no copies."""
+    from collections import defaultdict
+
+    df = spark.range(60_000).select(F.concat(F.lit("w"), "id").alias("w"))
+    kinds = defaultdict(list)
+    for r in df.select("w", L._codes(F.col("w")).alias("c")).collect():
+        kinds[r.c].append(r.w)
+    twins = [x[:2] for x in kinds.values() if len(x) > 1][:10]
+    a, b = ([x[i] for x in twins] for i in (0, 1))
+    texts = spark.createDataFrame([(n, " ".join(x)) for n, x in ((1, a), (2, b), (3, [*a[:9], "new"]))], "node bigint, line string").withColumn("coded", L._codes(F.col("line")))
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a bigint, b bigint")
+    assert [tuple(r) for r in L._verifier(texts, 0.8)(pairs).collect()] == [(1, 3)]
+
+
+def test_large_buckets_are_cut(spark, monkeypatch):
+    """Lines of the same words in other orders share all bits and are no links, save those that differ in few places."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.choice((3, 4, 7)))) for _ in range(30)]
+    rows = []
+    for _ in range(40):
+        w = list(vocab)
+        rng.shuffle(w)
+        rows += [w, [w[1], w[0], *w[2:28], w[29], w[28]]]
+    rows = [(d, " ".join(w)) for d, w in enumerate(rows)]
+    monkeypatch.setattr(L, "HOT_NODES", 8)
+    want, linked = brute(rows)
+    assert linked == 40 and {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
