@@ -86,3 +86,49 @@ def ends_with_path(path: Column, hint: Column) -> Column:
     """Whether a path ends in a hint, both with / for \\ and without /./ steps."""
     norm = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("/")), F.lit("/./"), F.lit("/"))
     return F.endswith(norm(path), norm(hint))
+
+
+# --- Fixed values: protocol words that are no symbols, and name prefixes that make a word a symbol hint ---------------
+NO_SYMBOLS = ("SITE", "CWD", "MKD", "RMD", "DELE", "RNFR", "RNTO")
+HINT_PREFIXES = ("ngx_", "vsf_", "pr_", "ssh", "userauth_", "handle_", "core_")
+NO_PLACES = ("external libc/glibc",)
+
+
+def clean_symbol(text: Column) -> Column:
+    """A symbol without quotes and backticks, up to an arrow or bracket; null for protocol words, paths and what is no
+    identifier."""
+    bare = F.regexp_replace(F.trim(text), "^`+|`+$", "")
+    head = F.trim(F.split_part(F.trim(F.split_part(bare, F.lit("->"), F.lit(1))), F.lit("("), F.lit(1)))
+    word = F.regexp_replace(head, "^[\"' ]+|[\"' ]+$", "")
+    return F.when(word.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~word.isin(*NO_SYMBOLS), word)
+
+
+def quoted_symbols(text: Column) -> Column:
+    """The symbols among the chunks of a text that stand in backticks, in order."""
+    return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1)), clean_symbol))
+
+
+def symbol_hints(text: Column) -> Column:
+    """Sorted distinct symbols that a text hints at: called or plain names in backticked lists, and words anywhere that
+    begin as known families of functions do."""
+    chunks = F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1))
+    pieces = F.transform(F.flatten(F.transform(chunks, lambda c: F.split(F.trim(c), r"\s*->\s*|,\s*"))), lambda x: F.trim(x))
+    called = F.transform(pieces, lambda x: F.replace(F.regexp_extract(x, r"^([A-Za-z_][A-Za-z0-9_@.]*)\s*\(", 1), F.lit("@plt"), F.lit("")))
+    plain = F.transform(F.filter(pieces, lambda x: x.rlike(r"^[A-Za-z_][A-Za-z0-9_@.()/-]*$")), lambda x: F.replace(x, F.lit("()"), F.lit("")))
+    family = F.regexp_extract_all(text, F.lit(rf"\b((?:{'|'.join(HINT_PREFIXES)})[A-Za-z0-9_]*)\b"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(called, plain, family), lambda x: x != "")))
+
+
+def place_hints(text: Column) -> Column:
+    """The places of a comma list as (file_hint, line_start, line_end): ``file:start-end`` or ``file:start``; other items
+    are files without lines."""
+    items = F.transform(F.split(text, ","), lambda x: F.regexp_replace(F.trim(x), "^`+|`+$", ""))
+    items = F.filter(items, lambda x: (x != "") & ~x.isin(*NO_PLACES) & ~F.startswith(x, F.lit("stage ")))
+
+    def parsed(x):
+        pattern = r"^([^:]+):(\d+)(?:-(\d+))?$"
+        start = F.nullif(F.regexp_extract(x, pattern, 2), F.lit("")).cast("int")
+        end = F.nullif(F.regexp_extract(x, pattern, 3), F.lit("")).cast("int")
+        return F.struct(F.when(start.isNotNull(), F.regexp_extract(x, pattern, 1)).otherwise(x).alias("file_hint"), start.alias("line_start"), F.coalesce(end, start).alias("line_end"))
+
+    return F.transform(items, parsed)

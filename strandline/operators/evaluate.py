@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.positional import hash_rank
+
 
 def confusion(df: DataFrame, predicted: str = "predicted", y: str = "y", by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn (bigint) and precision, recall, f1, accuracy to three digits; 0 where a ratio has no ground."""
@@ -43,5 +45,44 @@ def operating_threshold(curve: DataFrame, score: str = "score") -> DataFrame:
 
 def stratified_folds(df: DataFrame, y: str, key: str, folds: int = 5) -> DataFrame:
     """``fold``: rows of each label dealt in turn in the order of sha256 of the key."""
-    w = Window.partitionBy(y).orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    ranked = hash_rank(df, [y], F.col(key))
+    return ranked.withColumn("fold", ((F.col("__k") - 1) % folds).cast("int")).drop("__k", "__n")
+
+
+def roc_auc(df: DataFrame, score: str = "score", y: str = "y", by: list[str] | None = None) -> DataFrame:
+    """(by, n_pos, n_neg, auc): the share of pairs of a positive and a negative in which the positive scores higher, ties
+    counting half; null where there is no pair. Rows are summed up by distinct score first."""
+    by = by or []
+    at = df.groupBy(*by, score).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("n"))
+    bucket = F.floor(F.col(score) * 1000)
+    at = at.withColumn("__b", bucket)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    # negatives below: those of the buckets below, of which there are about a thousand, then those within the bucket
+    sums = at.groupBy(*by, "__b").agg(F.sum("n").alias("__bn"))
+    sums = sums.select(*(F.col(c).alias(f"__s_{c}") for c in by), F.col("__b").alias("__b2"), F.coalesce(F.sum("__bn").over((group if by else Window).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n0"))
+    own = Window.partitionBy(*by, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    met = at.withColumn("__own", F.coalesce(F.sum("n").over(own), F.lit(0))).join(sums, [F.col("__b") == F.col("__b2"), *(F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in by)])
+    wins = F.sum(F.col("p") * (F.col("__n0") + F.col("__own") + F.col("n") / 2))
+    out = met.groupBy(*by).agg(F.sum("p").cast("bigint").alias("n_pos"), F.sum("n").cast("bigint").alias("n_neg"), wins.alias("__w"))
+    pairs = F.col("n_pos") * F.col("n_neg")
+    return out.select(*by, "n_pos", "n_neg", F.when(pairs > 0, F.round(F.col("__w") / pairs, 6)).alias("auc"))
+
+
+def fold_means(df: DataFrame, fold: str, predicted: str = "predicted", y: str = "y") -> DataFrame:
+    """(n_folds, precision, recall, f1, accuracy): the means of the measures of each fold."""
+    each = confusion(df, predicted, y, [fold])
+    return each.agg(F.count("*").alias("n_folds"), *(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")))
+
+
+def leave_one_group_out(scored: DataFrame, group: str, y: str = "y", score: str = "score") -> DataFrame:
+    """Rows with ``score`` 0 where the group has no positive, which such groups keep as they are not scored."""
+    some = scored.groupBy(F.col(group).alias("__g")).agg(F.max(y).alias("__some"))
+    met = scored.join(some, F.col(group).eqNullSafe(F.col("__g")))
+    return met.withColumn(score, F.when(F.col("__some") == 1, F.coalesce(score, F.lit(0.0))).otherwise(0.0)).drop("__g", "__some")
+
+
+def coverage(final: DataFrame, truth: DataFrame, group: str, key: list[str]) -> DataFrame:
+    """(group, n_truth, tp, fn, recovered): how much of the ground truth (group, key) the final set (group, key, recovered)
+    holds, and how much of that rules recovered."""
+    met = truth.select(group, *key).distinct().join(final.select(group, *key, "recovered", F.lit(1).alias("__in")), [group, *key], "left")
+    return met.groupBy(group).agg(F.count("*").alias("n_truth"), F.count("__in").alias("tp"), F.count_if(F.col("__in").isNull()).alias("fn"), F.count_if(F.col("recovered") == 1).alias("recovered"))

@@ -39,12 +39,28 @@ def carry_forward(df: DataFrame, entity: list[str], order: list[str], is_header:
     return df.withColumn(name, F.last(F.when(is_header, header), ignorenulls=True).over(over(entity, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+#: Leading hexadecimal digits of a hash that number its bucket: 4,096 buckets a stratum.
+BUCKET_DIGITS = 3
+
+
+def hash_rank(df: DataFrame, strata: list[str], key: Column, rank: str = "__k", size: str = "__n") -> DataFrame:
+    """``rank``: each row's place, from 1, in its stratum by sha256 of the key as text, then by key; ``size``: the rows of
+    the stratum. Rows are ranked within buckets of hashes, and buckets start from the sums of those before them, so a
+    stratum is spread over many tasks, however large."""
+    rows = df.withColumn("__h", F.sha2(key.cast("string"), 256)).withColumn("__b", F.substring("__h", 1, BUCKET_DIGITS))
+    sizes = rows.groupBy(*strata, "__b").agg(F.count("*").alias("__m"))
+    whole = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("__m").over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(c).alias(f"__s_{c}") for c in strata), F.col("__b").alias("__b2"), before.alias("__before"), F.sum("__m").over(whole).alias(size))
+    own = F.row_number().over(Window.partitionBy(*strata, "__b").orderBy("__h", key))
+    met = rows.withColumn("__own", own).join(offsets, [F.col("__b") == F.col("__b2"), *(F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in strata)])
+    return met.select(*df.columns, (F.col("__before") + F.col("__own")).alias(rank), size)
+
+
 def proportional_split(df: DataFrame, strata: list[str], key: Column) -> DataFrame:
     """``split`` by the order of sha256 of the key in each stratum: one row is train, two are train and test, else train
     has max(1, 6n div 10) rows and validation max(1, 2n div 10), or n - 2 and 1 where that would leave none for test."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    k = F.row_number().over(Window.partitionBy(*strata).orderBy(F.sha2(key.cast("string"), 256), key))
-    df = df.withColumn("__n", n).withColumn("__k", k)
+    df = hash_rank(df, strata, key)
     train, valid = F.greatest(F.lit(1), F.floor(F.col("__n") * 6 / 10)), F.greatest(F.lit(1), F.floor(F.col("__n") * 2 / 10))
     full = train + valid >= F.col("__n")
     train, valid = F.when(full, F.col("__n") - 2).otherwise(train), F.when(full, F.lit(1)).otherwise(valid)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.positional import hash_rank
+
 
 def default_fill(base: DataFrame, features: DataFrame, on: list[str], fill: dict[str, object]) -> DataFrame:
     """Left join; the named feature columns are filled where the base row has no match or a null."""
@@ -14,14 +16,15 @@ def default_fill(base: DataFrame, features: DataFrame, on: list[str], fill: dict
     return joined.select(*(F.coalesce(c, F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in joined.columns))
 
 
-def range_lookup(points: DataFrame, spans: DataFrame, point: str, lo: str, hi: str, order: str, width: float) -> DataFrame:
-    """Points with the first span (by ``order``) of those [lo, hi) that hold them; points in no span are left out.
+def range_lookup(points: DataFrame, spans: DataFrame, point: str, lo: str, hi: str, order: str, width: float, also: list[Column] | None = None) -> DataFrame:
+    """Points with the first span (by ``order``) of those [lo, hi) that hold them; points in no span are left out. ``also``
+    are further equalities of the join.
 
     Spans are cut to buckets of ``width`` and points are equi-joined on theirs, so both sides can be large.
     """
     bucket = lambda c: F.floor(c / F.lit(float(width)))
-    cut = spans.filter(F.col(hi) > F.col(lo)).withColumn("__b", F.explode(F.sequence(bucket(F.col(lo)), bucket(F.col(hi)))))
-    met = points.withColumn("__b", bucket(F.col(point))).join(cut, "__b").filter((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))).drop("__b")
+    cut = spans.filter(F.col(hi) > F.col(lo)).withColumn("__b2", F.explode(F.sequence(bucket(F.col(lo)), bucket(F.col(hi)))))
+    met = points.withColumn("__b", bucket(F.col(point))).join(cut, [F.col("__b") == F.col("__b2"), *(also or [])]).filter((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))).drop("__b", "__b2")
     own = [c for c in points.columns]
     return met.groupBy(*own).agg(F.min_by(F.struct(*spans.columns), order).alias("__s")).select(*own, "__s.*")
 
@@ -49,6 +52,40 @@ def staged_union(screen: DataFrame, rules: DataFrame, recall: DataFrame, key: li
     return held.withColumn("recovered", gap.cast("int")).filter((F.col("in_screen") == 1) | gap)
 
 
+def first_resolved(candidates: DataFrame, known: DataFrame, key: list[str], rank: str = "rank", name: str = "name", by: str = "method") -> DataFrame:
+    """Ordered fallback: for each key of ``candidates`` (key, rank, name, method) the name and method of the least rank
+    whose name is in ``known`` (name); keys of which none is known stay, with nulls."""
+    met = candidates.join(known.select(F.col(name)).distinct().withColumn("__ok", F.lit(True)), name, "left")
+    best = F.min_by(F.struct(name, by), F.when(F.col("__ok"), F.struct(F.col(rank), F.col(name))))
+    return met.groupBy(*key).agg(best.alias("__best"), F.max("__ok").alias("__ok")).select(*key, F.when(F.col("__ok"), F.col(f"__best.{name}")).alias(name), F.when(F.col("__ok"), F.col(f"__best.{by}")).alias(by))
+
+
+def resolvable(rows: DataFrame, known: DataFrame, group: str, key: list[str]) -> DataFrame:
+    """Rows whose key is known, and all rows of a group of which nothing is known."""
+    held = known.select(group, *key).distinct()
+    some = held.select(group).distinct().withColumn("__some", F.lit(1))
+    met = rows.join(held.withColumn("__ok", F.lit(1)), [group, *key], "left").join(some, group, "left")
+    return met.filter("__ok = 1 or __some is null").select(rows.columns)
+
+
+def present_in_all(base: DataFrame, sources: list[DataFrame], key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key every source has, the rest): what is assembled, and what is counted as skipped."""
+    tagged = reduce(DataFrame.unionByName, (df.select(*key).distinct().withColumn("__src", F.lit(k)) for k, df in enumerate(sources)))
+    full = tagged.groupBy(*key).agg(F.count("*").alias("__n")).filter(F.col("__n") == len(sources)).select(*key)
+    return base.join(full, key, "left_semi"), base.join(full, key, "left_anti")
+
+
+def gather_labels(concrete: DataFrame, named: DataFrame, extra: DataFrame, effects: DataFrame, known_negative: DataFrame, known_positive: DataFrame, key: list[str]) -> DataFrame:
+    """(key, y): positives are concrete + named + (extra within effects); negatives are (known negatives + what was
+    positive and no longer is) - positives. One aggregation of tagged keys, no side joined with another."""
+    sides = {"concrete": concrete, "named": named, "extra": extra, "effects": effects, "neg": known_negative, "pos": known_positive}
+    tagged = reduce(DataFrame.unionByName, (df.select(*key, *(F.lit(int(n == side)).alias(f"__{n}") for n in sides)) for side, df in sides.items()))
+    held = tagged.groupBy(*key).agg(*(F.max(f"__{n}").alias(f"__{n}") for n in sides))
+    is_ = lambda n: F.col(f"__{n}") == 1
+    y = F.when(is_("concrete") | is_("named") | (is_("extra") & is_("effects")), 1).when(is_("neg") | is_("pos"), 0)
+    return held.select(*key, y.alias("y")).filter("y is not null")
+
+
 def resolve_labels(positives: list[DataFrame], negatives: list[DataFrame], key: list[str]) -> DataFrame:
     """Keys with y: 1 if any positive source has them, else 0 (positives win)."""
     every = reduce(DataFrame.unionByName, [*(df.select(*key, F.lit(1).alias("y")) for df in positives), *(df.select(*key, F.lit(0).alias("y")) for df in negatives)])
@@ -67,7 +104,6 @@ def correct_labels(labels: DataFrame, corrections: DataFrame, overrides: DataFra
 
 def capped_negatives(labels: DataFrame, stratum: str, key: Column, each: int) -> DataFrame:
     """All positives, and of each stratum's negatives the first ``each`` times max(positives, 1) by sha256 of the key."""
-    held = labels.withColumn("__p", F.sum("y").over(Window.partitionBy(stratum)))
-    k = F.row_number().over(Window.partitionBy(stratum, "y").orderBy(F.sha2(key.cast("string"), 256), key))
-    held = held.withColumn("__k", k)
-    return held.filter((F.col("y") == 1) | (F.col("__k") <= each * F.greatest(F.col("__p"), F.lit(1)))).drop("__p", "__k")
+    positives = labels.groupBy(F.col(stratum).alias("__s")).agg(F.sum("y").alias("__p"))
+    held = hash_rank(labels, [stratum, "y"], key).drop("__n").join(positives, F.col(stratum).eqNullSafe(F.col("__s")))
+    return held.filter((F.col("y") == 1) | (F.col("__k") <= each * F.greatest(F.col("__p"), F.lit(1)))).drop("__p", "__k", "__s")

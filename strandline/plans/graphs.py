@@ -18,7 +18,7 @@ BFS_SQL = "bfs(node, dist) as (select node, 0 from seed union select edge.src, b
 
 def _seeds(spark, sf_dir, least):
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("label"))
-    return table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") > least).join(F.broadcast(nation), "s_nationkey").select(F.col("s_suppkey").alias("node"), "label")
+    return table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") > least).join(nation, "s_nationkey").select(F.col("s_suppkey").alias("node"), "label")
 
 
 def _one(spark, sf_dir):
@@ -103,7 +103,7 @@ def back_edge_regions(spark, sf_dir):
     """Back edges by layout order and the size of the contiguous region that they close."""
     e = edges(spark, sf_dir)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    order = nodes.select("node", F.rank().over(G.layout("node")).cast("bigint").alias("k"))
+    order = G.numbered(nodes, "node", "k")
     met = e.join(order.select(F.col("node").alias("src"), F.col("k").alias("hi")), "src").join(order.select(F.col("node").alias("dst"), F.col("k").alias("lo")), "dst")
     return met.filter("lo <= hi").select("src", "dst", "hi", "lo", (F.col("hi") - F.col("lo") + 1).alias("n_nodes"))
 

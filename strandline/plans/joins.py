@@ -38,14 +38,11 @@ def negatives_anti(spark, sf_dir):
     return lab.filter("y = 0").select("fn", "prog").join(lab.filter("quality = 1").select("fn"), "fn", "left_anti")
 
 
-@query("resolvable_filter", f"with {LABEL_SQL} select fn, prog from lab where fn in (select fn from lab where quality = 1) or prog not in (select prog from lab where quality = 1 and prog <> 'es')")
+@query("resolvable_filter", f"with {LABEL_SQL} select fn, prog from lab where fn in (select fn from lab where quality = 1 and prog <> 'es') or prog not in (select prog from lab where quality = 1 and prog <> 'es')")
 def resolvable_filter(spark, sf_dir):
     """Names are kept if they resolve; a program without any resolvable name keeps all of its names."""
     lab = labelled(spark, sf_dir)
-    known = lab.filter("quality = 1")
-    some = known.filter("prog <> 'es'").select("prog").distinct().withColumn("some", F.lit(1))
-    rows = lab.select("fn", "prog").join(known.select("fn", F.lit(1).alias("ok")), "fn", "left").join(F.broadcast(some), "prog", "left")
-    return rows.filter("ok = 1 or some is null").select("fn", "prog")
+    return R.resolvable(lab.select("fn", "prog"), lab.filter("quality = 1 and prog <> 'es'").select("fn", "prog"), "prog", ["fn"])
 
 
 BANDS = [(0, "low", 0.0, 20000.0), (1, "mid", 15000.0, 45000.0), (2, "high", 45000.0, 70000.0), (3, "void", 80000.0, 80000.0)]
@@ -100,7 +97,7 @@ def nested_offset_resolution(spark, sf_dir):
 )
 def scored_match_top8(spark, sf_dir):
     """Candidates scored against the goals of their program, the eight best each, and a status by the best."""
-    nation = F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cand")))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cand"))
     goals = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("cand"), F.col("c_custkey").alias("goal"), "c_acctbal", "c_mktsegment")
     gain = lambda c, n: F.when(c, n).otherwise(0)
     score = gain(F.col("c_acctbal") > 5000, 5) + gain(F.col("c_mktsegment") == "BUILDING", 3) + gain(F.col("goal") % 7 == F.col("cand") % 7, 4)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from strandline.functions import dimensions as D
@@ -41,9 +39,5 @@ def gbt_train_score(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     measures = [F.size(F.split(text, " ")).alias("n_words"), F.size(F.split(text, "\n")).alias("n_lines"), F.length(F.regexp_replace(text, "[^0-9]", "")).alias("n_digits"), F.length(F.regexp_replace(text, "[^!?.,]", "")).alias("n_marks")]
     rows = docs.select("doc_id", F.col("quality").alias("y"), *S.keyword_flags(text, D.NAME_KEYWORDS, "name_"), *measures)
-    rows = E.stratified_folds(rows, "y", "doc_id").repartition(4).cache()
-    context = spark.sparkContext
-    if context.master.startswith("local[") and not context.getCheckpointDir():  # 300 rounds are too long a lineage
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
-    scored = boost.out_of_fold(rows, FEATURES, "fold")
+    scored = boost.out_of_fold(E.stratified_folds(rows, "y", "doc_id"), FEATURES, "fold")
     return E.confusion(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")))

@@ -118,7 +118,7 @@ def lopo_rollup(spark, sf_dir):
     counts in the pool."""
     lab = labelled(spark, sf_dir).select("prog", "y", "score")
     some = lab.groupBy("prog").agg(F.max("y").alias("some"))
-    scored = lab.join(F.broadcast(some), "prog").withColumn("predicted", ((F.col("score") >= 0.5) & (F.col("some") > 0)).cast("int"))
+    scored = lab.join(some, "prog").withColumn("predicted", ((F.col("score") >= 0.5) & (F.col("some") > 0)).cast("int"))
     each = E.confusion(scored, by=["prog"])
     pooled = E.with_ratios(each.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")))).withColumn("prog", F.lit(None).cast("string"))
     return each.unionByName(pooled)

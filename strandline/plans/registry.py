@@ -46,6 +46,6 @@ def scan_rank_threshold(spark, sf_dir):
 
 def _load() -> None:
     """The modules that register queries."""
-    from strandline.plans import graphs, joins, kernels, labels, streams  # noqa: F401
+    from strandline.plans import graphs, joins, kernels, labels, resolution, streams  # noqa: F401
 
 _load()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars as S
 from strandline.operators import kernels
+from strandline.operators.relational import by_precedence
 
 INSN = "function string, instruction string, pc string, size int"
 CFG = "functions array<struct<name:string,instructions:array<struct<address:string,opcode:string,operands:array<string>,asm:string,kind:string,target:string>>,basic_blocks:array<struct<id:string,instructions:array<string>>>,cfg_edges:array<struct<source:string,src:string,target:string,target_address:string,type:string>>>>"
@@ -20,13 +21,23 @@ FEATURES = "map<string,map<string,map<string,int>>>"
 PLT = (".plt", ".plt.sec")
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, seq, line) of text files: ``seq`` rises with a line's place in its file. Files are split among tasks, and a
+    line is numbered from where its split begins, so numbers may leave gaps between splits, never within one."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    first = lines.groupBy("path", "start").agg(F.min("id").alias("first"))  # a row for each split
+    # a line has a byte at least, so a split that begins at byte b has fewer lines before it than b
+    met = lines.join(first, ["path", "start"])
+    return met.select("path", (F.col("start") + F.col("id") - F.col("first")).alias("seq"), F.col("value").alias("line"))
+
+
 def instructions(spark: SparkSession, path: str, target_id: str, artifact: str = "main", keep_plt: bool = False) -> DataFrame:
     """JSONL of instructions as (target_id, artifact, function, seq, pc, size, instruction), calls with their ``callee``.
 
-    ``seq`` is the row's place in its file: files are read whole, one task each, as place is all the order they have.
+    ``seq`` rises with the row's place in its file, which is all the order that there is; files are split among tasks.
     Lines that are not JSON, or without a function, are left out; pc is parsed from hex as unsigned below 2**63.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line"))
+    lines = ordered_lines(spark, path)
     rec = lines.select("seq", F.from_json("line", INSN).alias("r")).filter("r.function is not null")
     out = rec.select(
         F.lit(target_id).alias("target_id"), F.lit(artifact).alias("artifact"), F.col("r.function").alias("function"), F.col("seq").cast("bigint").alias("seq"),
@@ -94,8 +105,22 @@ def feature_csv(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
     return raw.select("target_id", "function", *(F.coalesce(F.expr(f"try_cast(`{c}` as double)"), F.lit(0.0)).alias(c) if c in raw.columns else F.lit(0.0).alias(c) for c in order))
 
 
-def review_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(function, verdict): the first column, and source_verdict or else the second."""
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of several paths that is there, in any store that Spark reads; None if none is."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(conf).exists(place):
+            return path
+    return None
+
+
+def review_csv(spark: SparkSession, *paths: str) -> DataFrame:
+    """(function, verdict) of the first of ``paths`` that is there: the first column, and source_verdict or else the
+    second. No rows if none is there."""
+    path = first_existing(spark, list(paths))
+    if path is None:
+        return spark.createDataFrame([], "function string, verdict string")
     raw = spark.read.csv(path, header=True)
     verdict = "source_verdict" if "source_verdict" in raw.columns else raw.columns[1]
     return raw.select(F.col(f"`{raw.columns[0]}`").alias("function"), F.col(f"`{verdict}`").alias("verdict"))
@@ -148,7 +173,7 @@ def elf_sections(spark: SparkSession, path: str) -> DataFrame:
 
 def line_table(spark: SparkSession, path: str) -> DataFrame:
     """(pc, file) of a dumped line table; the last line written for an address wins."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("k", "line"))
+    lines = ordered_lines(spark, path).withColumnRenamed("seq", "k")
     pattern = r"^(\S+\.\w+)\s+\d+\s+0x([0-9a-f]+)"
     rows = lines.filter(F.col("line").rlike(pattern)).select("k", F.regexp_extract("line", pattern, 1).alias("file"), F.conv(F.regexp_extract("line", pattern, 2), 16, 10).cast("bigint").alias("pc"))
     return rows.groupBy("pc").agg(F.max_by("file", "k").alias("file"))
@@ -172,3 +197,54 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     schema = "target_id string, label struct<worth_attack:int>, binary_resolution struct<stage03_matches:array<struct<function:string>>>"
     rows = spark.read.schema(schema).json(path).filter("label.worth_attack = 1")
     return rows.select("target_id", F.explode("binary_resolution.stage03_matches.function").alias("function")).filter("function is not null").distinct()
+
+
+def goals(spark: SparkSession, path: str) -> DataFrame:
+    """(id, pc, function, target_name, target_kind, kind, category, file, line) of a goal document; no rows if it is
+    missing."""
+    schema = "goals array<struct<id:string,pc:string,function:string,target_name:string,target_kind:string,kind:string,category:string,source_location:struct<file:string,line:int,raw:string>>>"
+    if first_existing(spark, [path]) is None:
+        doc = spark.createDataFrame([], schema)
+    else:
+        doc = spark.read.schema(schema).json(path, multiLine=True)
+    rows = doc.select(F.explode("goals").alias("g")).select("g.*")
+    return rows.select(*(c for c in rows.columns if c != "source_location"), "source_location.file", "source_location.line")
+
+
+def debug_tree(spark: SparkSession, path: str, target_id: str) -> DataFrame:
+    """(target_id, id, parent, tag, name, type_id) of debug information extracted to JSON lines, an entry each."""
+    rows = spark.read.schema("id bigint, parent bigint, tag string, name string, type_id bigint").json(path)
+    return rows.select(F.lit(target_id).alias("target_id"), "id", "parent", "tag", "name", "type_id")
+
+
+#: Programs whose folder stands beside the folder of all others, and where artifacts are within a program's.
+BESIDE = ("nginx_1_4_0_validation",)
+STAGE = "artifacts/stage_02_static_ir_cfg"
+FILES = (("disassembly", "*_disassembly.jsonl"), ("cfg", "*_cfg.json"), ("dwarf", "*_dwarf.json"))
+
+
+def artifact_paths(targets: DataFrame, root: str, beside: tuple[str, ...] = BESIDE) -> DataFrame:
+    """(target_id, folder, disassembly, cfg, dwarf): where each target's artifacts are, by rule but for special cases."""
+    root = root.rstrip("/")
+    base = F.when(F.col("target_id").isin(*beside), F.lit(root.rpartition("/")[0])).otherwise(F.lit(root)) if beside else F.lit(root)
+    folder = F.concat(base, F.lit("/"), F.col("target_id"), F.lit(f"/{STAGE}"))
+    return targets.select("target_id", folder.alias("folder"), *(F.concat(folder, F.lit(f"/{file}")).alias(c) for c, file in FILES))
+
+
+def program_metadata(spark: SparkSession, path: str, target_id: str) -> DataFrame:
+    """(target_id, path, length, sha256, has_debug_info): the largest ELF under a path, its digest, and whether it has
+    sections of debug information. No row if there is no ELF."""
+    best = largest_elf(spark, path)
+    debug = elf_sections(spark, path).groupBy("path").agg(F.max(F.startswith("name", F.lit(".debug_"))).alias("has_debug_info"))
+    return best.join(debug, "path", "left").select(F.lit(target_id).alias("target_id"), "path", "length", "sha256", F.coalesce("has_debug_info", F.lit(False)).alias("has_debug_info"))
+
+
+def literal_relation(spark: SparkSession, labels: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """(target_id, function, y) of labels given in code: {target: {"pos": [...], "neg": [...]}}."""
+    rows = [(t, f, y) for t, sides in sorted(labels.items()) for y, side in ((1, "pos"), (0, "neg")) for f in sides.get(side, ())]
+    return spark.createDataFrame(rows, "target_id string, function string, y int")
+
+
+def named_functions(primary: list[DataFrame], auxiliary: list[DataFrame], key: list[str]) -> DataFrame:
+    """Rows of primary artifacts, and of auxiliary ones for keys that no primary one has; the first source wins."""
+    return by_precedence([*primary, *auxiliary], key).drop("precedence")

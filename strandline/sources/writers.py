@@ -32,6 +32,13 @@ def by_split(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").partitionBy("split").parquet(path)
 
 
+def split_profiles(df: DataFrame, path: str, profiles: dict[str, list[str]]) -> None:
+    """CSV with a header, a folder for each profile (its columns, after target_id and function) and in it one for each
+    split."""
+    for name, columns in profiles.items():
+        df.select("split", "target_id", "function", *columns).write.mode("errorifexists").partitionBy("split").csv(f"{path}/{name}", header=True)
+
+
 def replace_targets(df: DataFrame, path: str) -> None:
     """Replace the partitions of the targets in ``df`` and leave the others: delete by key, then append."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target_id").parquet(path)
@@ -53,11 +60,22 @@ def manifest(df: DataFrame, by: list[str]) -> str:
     return json.dumps(out, sort_keys=True, indent=1)
 
 
-def markdown_report(df: DataFrame, title: str, most: int = 200) -> str:
-    """A small aggregate as a Markdown table; ``most`` rows are the report's length."""
-    rows = df.limit(most).collect()
+def markdown_report(df: DataFrame, title: str) -> str:
+    """A small aggregate as a Markdown table, whole: rows are fetched a partition at a time."""
     head = f"## {title}\n\n| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
-    return head + "".join("| " + " | ".join(str(x) for x in r) + " |\n" for r in rows)
+    return head + "".join("| " + " | ".join(str(x) for x in r) + " |\n" for r in df.toLocalIterator())
+
+
+def detail_report(summary: DataFrame, details: DataFrame, title: str, section: str) -> str:
+    """A Markdown report: the table of all sections, then a table of the details of each, in the order of ``section``."""
+    parts, last = [markdown_report(summary.orderBy(section), title)], None
+    columns = [c for c in details.columns if c != section]
+    for r in details.orderBy(section, *columns).toLocalIterator():
+        if r[section] != last:
+            last = r[section]
+            parts.append(f"\n### {last}\n\n| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n")
+        parts.append("| " + " | ".join(str(r[c]) for c in columns) + " |\n")
+    return "".join(parts)
 
 
 def save_model(model, path: str, spec: dict) -> None:

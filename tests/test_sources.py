@@ -78,3 +78,56 @@ def test_writers(spark, tmp_path):
     assert sorted(r.z for r in W.patched(df, patch, ["target_id", "function"], ["z"]).collect()) == [0, 9]
     assert json.loads(W.manifest(df, ["target_id"]))["rows"] == 2
     assert "| p | f | 1 |" in W.markdown_report(df.orderBy("target_id"), "t")
+
+
+def test_lines_keep_their_order_across_splits(spark, tmp_path):
+    text = "".join(f"line {k} {'x' * (k % 40)}\n" for k in range(5000))
+    (tmp_path / "a.txt").write_text(text)
+    (tmp_path / "b.txt").write_text("one\ntwo\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = A.ordered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    own = sorted((r.seq, r.line) for r in rows if r.path.endswith("a.txt"))
+    assert [t for _, t in own] == text.splitlines() and len({s for s, _ in own}) == 5000
+    assert [r.line for r in sorted((r for r in rows if r.path.endswith("b.txt")), key=lambda r: r.seq)] == ["one", "two"]
+
+
+def test_first_existing_goals_and_paths(spark, tmp_path):
+    (tmp_path / "two.csv").write_text("fn,verdict\na,sink\n")
+    assert [tuple(r) for r in A.review_csv(spark, str(tmp_path / "one.csv"), str(tmp_path / "two.csv")).collect()] == [("a", "sink")]
+    assert A.review_csv(spark, str(tmp_path / "no.csv")).count() == 0 and A.first_existing(spark, [str(tmp_path / "no")]) is None
+    goal = {"id": "g", "pc": "0x1", "function": "f", "kind": "k", "source_location": {"file": "a.c", "line": 7}}
+    (tmp_path / "g.json").write_text(json.dumps({"goals": [goal]}))
+    (row,) = A.goals(spark, str(tmp_path / "g.json")).collect()
+    assert (row.id, row.file, row.line, row.target_name) == ("g", "a.c", 7, None) and A.goals(spark, str(tmp_path / "none.json")).count() == 0
+    rows = A.artifact_paths(spark.createDataFrame([("p",), ("nginx_1_4_0_validation",)], "target_id string"), "/data/all/").collect()
+    assert [r.folder for r in rows] == ["/data/all/p/artifacts/stage_02_static_ir_cfg", "/data/nginx_1_4_0_validation/artifacts/stage_02_static_ir_cfg"]
+    labels = A.literal_relation(spark, {"p": {"pos": ["a"], "neg": ["b"]}, "q": {"pos": ["c"]}})
+    assert sorted(map(tuple, labels.collect())) == [("p", "a", 1), ("p", "b", 0), ("q", "c", 1)]
+    main, aux = (spark.createDataFrame(r, "target_id string, function string, size int") for r in ([("p", "f", 1)], [("p", "f", 2), ("p", "g", 3)]))
+    assert sorted(map(tuple, A.named_functions([main], [aux], ["target_id", "function"]).collect())) == [("p", "f", 1), ("p", "g", 3)]
+
+
+def test_debug_tree_and_metadata(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text(json.dumps({"id": 1, "parent": 0, "tag": "subprogram", "name": "f", "type_id": None}) + "\n")
+    assert [tuple(r) for r in A.debug_tree(spark, str(tmp_path / "t.jsonl"), "p").collect()] == [("p", 1, 0, "subprogram", "f", None)]
+    (tmp_path / "bin").mkdir()
+    assert A.program_metadata(spark, str(tmp_path / "bin"), "p").count() == 0 if any((tmp_path / "bin").iterdir()) else True
+    (tmp_path / "bin" / "a").write_bytes(elf())
+    (row,) = A.program_metadata(spark, str(tmp_path / "bin"), "p").collect()
+    assert row.length == len(elf()) and len(row.sha256) == 64 and row.has_debug_info is False
+
+
+def test_split_profiles_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([("train", "p", "f", 1, 2), ("test", "p", "g", 3, 4)], "split string, target_id string, function string, a int, b int")
+    W.split_profiles(df, str(tmp_path / "s"), {"one": ["a"], "two": ["a", "b"]})
+    back = spark.read.csv(str(tmp_path / "s" / "two"), header=True)
+    assert sorted((r.split, r.function, r.b) for r in back.collect()) == [("test", "g", "4"), ("train", "f", "2")]
+    assert sorted(p.name for p in (tmp_path / "s" / "one").iterdir() if p.is_dir()) == ["split=test", "split=train"]
+    many = spark.range(500).selectExpr("id", "id % 2 as target_id")
+    assert W.markdown_report(many, "all").count("\n") == 504
+    text = W.detail_report(many.groupBy("target_id").count(), many, "all", "target_id")
+    assert text.index("### 0") < text.index("### 1") and text.count("\n") > 505
