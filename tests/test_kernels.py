@@ -1,4 +1,5 @@
 from strandline.operators import kernels as K
+from strandline.plans.example import ENDPOINTS, PROGRAM
 
 
 def code(text):
@@ -102,25 +103,6 @@ def test_gbt_query_is_the_whole_job(spark, monkeypatch):
     assert len(asked["order"]) == len(dimensions.NAME_KEYWORDS) + 4 == 34 and asked["folds"] == 5 and not asked["how"]
 
 
-PROGRAM = {
-    "open_it": "mov esi,0x0\ncall 1 <open@plt>",
-    "read_it": "call 1 <read@plt>",
-    "transfer": "call 1 <read_it>\ncall 2 <send@plt>",
-    "serve": "call 1 <open_it>\nmov edi,eax\ncall 2 <transfer>",
-    "upload": "call 1 <accept@plt>\nmov edi,eax\ncall 2 <transfer>",
-    "register": "mov rax,QWORD PTR [rip+0x1000]\nmov DWORD PTR [rax+0x8],edi",
-    "resolve": "mov rdx,QWORD PTR [rip+0x1000]\nmov eax,DWORD PTR [rdx+0x8]",
-    "feeder": "call 1 <open_it>\nmov edi,eax\ncall 2 <register>",
-    "drainer": "call 1 <resolve>\nmov edi,eax\ncall 2 <read@plt>\ncall 3 <send@plt>",
-    "flush": "mov esi,DWORD PTR [rbx+0x30]\ncall 1 <sendfile@plt>",
-    "append": "mov DWORD PTR [rdi+0x30],esi",
-    "queue": "call 1 <open_it>\nmov esi,eax\ncall 2 <append>",
-    "sender": "mov rsi,QWORD PTR [rbx+0x58]\ncall 1 <send@plt>",
-    "filler": "mov rsi,QWORD PTR [rbx+0x58]\ncall 1 <read@plt>",
-    "copier": "mov rdi,QWORD PTR [rbx+0x58]\ncall 1 <memcpy@plt>",
-}
-
-
 def test_program_kernels(spark):
     rows = [("p", f, k, 8 * k, 8, t) for f, text in PROGRAM.items() for k, t in enumerate(text.splitlines())]
     rows += [("q", f, k, 8 * k, 8, t) for f in ("serve", "queue") for k, t in enumerate(PROGRAM[f].splitlines())]
@@ -129,5 +111,50 @@ def test_program_kernels(spark):
     for want in (("serve", "fd_arg"), ("feeder", "fd_table"), ("drainer", "fd_table"), ("queue", "fd_queue"), ("append", "mount_writer"), ("filler", "crossbuf"), ("filler", "writes_send_buffer"), ("copier", "writes_send_buffer")):
         assert ("p", *want) in got
     fds = {(t, f, tag) for t, f, tag in got if tag in ("fd_arg", "fd_table", "fd_queue")}
-    assert fds == {("p", "serve", "fd_arg"), ("p", "feeder", "fd_table"), ("p", "drainer", "fd_table"), ("p", "queue", "fd_queue")}
+    assert fds == {("p", f, tag) for f, tag in ENDPOINTS.items() if tag.startswith("fd_")}
     assert ("p", "copier", "crossbuf") not in got
+
+
+def test_taint_query_against_plain_calls(spark):
+    """Every row of the query, by calling the kernels on each function of the carrier one after another."""
+    from strandline.plans import kernels as plans
+
+    sf = "/root/testdata/sf0.001"
+    rows = plans._program(spark, sf).toPandas().sort_values(["target_id", "function", "seq"], kind="stable")
+    codes = {k: [K.parse(t or "", int(p), int(z)) for t, p, z in zip(g.instruction, g.pc, g["size"], strict=True)] for k, g in rows.groupby(["target_id", "function"])}
+    want = [(t, f, name, str(x)) for (t, f), c in codes.items() for name, kernel in K.KERNELS.items() for x in kernel(c)]
+    for target in {t for t, _ in codes}:
+        own = {f: c for (t, f), c in codes.items() if t == target}
+        about = K.summary({f: K.facts(c) for f, c in own.items()})
+        want += [(target, f, tag, str(x)) for f, c in own.items() for kernel in K.PROGRAM_KERNELS.values() for tag, xs in kernel(f, c, about) for x in xs]
+    got = [tuple(r) for r in plans.taint_kernels(spark, sf).collect()]
+    assert len(got) > 10 and sorted(got) == sorted(want)
+
+
+def test_histogram_trees_learn_and_repeat():
+    import numpy as np
+
+    from strandline.operators.boost import Trees
+
+    rng = np.random.default_rng(0)
+    x = rng.random((800, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    one, two = (Trees(rounds=120, depth=3, step=0.2).fit(x[:600], y[:600]).probability(x[600:]) for _ in "ab")
+    assert (one == two).all() and ((one > 0.5) == y[600:]).mean() > 0.93
+    assert (Trees(rounds=3).fit(np.zeros((5, 2)), np.array([0.0, 1, 0, 1, 1])).probability(np.zeros((2, 2))) > 0.4).all()
+
+
+def test_out_of_fold_scores(spark):
+    """A row's score does not depend on its own label; a fold whose rest has one label is scored 0."""
+    from pyspark.sql import functions as F
+
+    from strandline.operators import boost
+
+    rows = spark.range(200).select("id", (F.col("id") % 4).cast("int").alias("fold"), (F.col("id") * 37 % 101).alias("a"), F.lit(1.0).alias("b"))
+    rows = rows.withColumn("y", (F.col("a") > 50).cast("int"))
+    how = {"rounds": 20, "depth": 2, "step": 0.3}
+    got = {r.id: r.score for r in boost.out_of_fold(rows, ["a", "b"], "fold", **how).collect()}
+    again = {r.id: r.score for r in boost.out_of_fold(rows.withColumn("y", F.when(F.col("id") == 8, 1 - F.col("y")).otherwise(F.col("y"))).repartition(5), ["a", "b"], "fold", **how).collect()}
+    assert len(got) == 200 and got[8] == again[8] and sum((s > 0.5) == (k * 37 % 101 > 50) for k, s in got.items()) > 190
+    lone = boost.out_of_fold(rows.withColumn("y", (F.col("fold") == 1).cast("int")), ["a", "b"], "fold", **how).groupBy("fold").agg(F.max("score").alias("m")).collect()
+    assert {r.fold: r.m for r in lone}[1] == 0.0

@@ -5,8 +5,8 @@ import json
 from strandline import cli
 from strandline.operators import boost, graph, relational, scan
 from strandline.operators import evaluate as E
+from strandline.plans.example import PROGRAM
 from strandline.sources import artifacts as A
-from tests.test_kernels import PROGRAM
 
 
 def write_program(folder, name, program):
@@ -17,7 +17,7 @@ def write_program(folder, name, program):
 
 
 def test_whole_scan(spark, tmp_path, capsys):
-    write_program(tmp_path, "p", PROGRAM | {"far": "call 1 <near>", "near": "call 1 <mid>", "mid": "call 1 <transfer>", "alone": "call 1 <send@plt>"})
+    write_program(tmp_path, "p", PROGRAM | {"alone": "call 1 <send@plt>"})
     insns = cli.programs(spark, str(tmp_path), ["p", "missing"])
     assert "missing: no artifacts" in capsys.readouterr().out
     near = {r.function: r.dist for r in scan.recall(insns).collect()}
