@@ -20,10 +20,11 @@ def _fold(parts: int):
 
 
 def op1_decontaminate(spark, sf_dir):
-    """What of every document stands in the benchmark, by exact windows of ten words."""
-    found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """What of every document stands in the benchmark, by exact windows of ten words; n_near counts the items of which a
+    window stands there with its words up to two places off."""
+    found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slack=decontaminate.SLACK)
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "n_near")
 
 
 def op2_media(spark, sf_dir):

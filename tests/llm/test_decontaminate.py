@@ -56,3 +56,46 @@ def test_near_holds_exact(spark):
     index = D.build(docs, D.phrases(spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")))
     assert {r.doc for r in D.match(index).collect()} == {1}
     assert {r.doc for r in D.near(index, 2).collect()} == {1, 2}
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    from strandline.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(D.scan_sql())
+    names = [c[0] for c in want.description]
+    got = queries.op1_decontaminate(spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(str, map(tuple, got.select(names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_near_against_brute_force(spark):
+    rng = random.Random(7)
+    vocab = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choices(vocab, k=n))) for k, n in enumerate((4, 4, 12, 2, 1))]
+    docs = [(k, " ".join(rng.choices(vocab, k=60))) for k in range(25)] + [(90, " ".join(reversed(items[0][1].split()))), (91, "w0 " * 500)]
+    seen = {}
+    for _, t in docs:
+        for w in cut(t):
+            seen[w] = seen.get(w, 0) + 1
+    want = {}
+    for d, t in docs:
+        w, ids = cut(t), set()
+        for i, text in items:
+            v = cut(text)
+            for s in range(max(1, len(v) - 9)):
+                p = v[s : s + 10]
+                if any(x not in seen for x in p):
+                    continue
+                off = min(range(len(p)), key=lambda o: (seen[p[o]], p[o], o))
+                for at in (k - off for k, x in enumerate(w) if x == p[off]):
+                    if all(x in w[max(0, at + o - 2) : max(0, at + o + 3)] for o, x in enumerate(p) if o != off):
+                        ids.add(i)
+        want[d] = len(ids)
+    got = D.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), slack=2)
+    assert {r.doc_id: r.n_near for r in got.collect()} == want and len(set(want.values())) > 2
