@@ -53,3 +53,53 @@ def test_stages_tell_rows_apart(spark, tmp_path):
     out = C.near_dedup(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text[0]) for r in out.collect()) == [(0, "a"), (4, "b"), (7, "c")]
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path, odd, none):
+    spark.createDataFrame([(1, "moon all night long"), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, docs in (("odd", odd), ("none", none), ("null", odd.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in odd.schema)).limit(3))):
+        for k, (stage, f) in enumerate(C.STAGES):
+            out = f(spark, docs, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{name}-{stage}")
+            after = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            if k < len(C.STAGES) - 1:
+                assert after.columns == docs.columns
+            assert after.count() <= docs.count() or k == len(C.STAGES) - 1
+            docs = after
+
+
+def test_each_stage_against_brute_force(spark, tmp_path):
+    """Every stage on the same generated corpus, each held against a plain version of its own operator's definition."""
+    import random
+
+    from tests.llm.test_decontaminate import brute as hits
+    from tests.llm.test_lines import brute as lines
+    from tests.llm.test_neardup import brute as near
+
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.choice((3, 4, 7)))) for _ in range(500)]
+    line = lambda n: " ".join(rng.choices(vocab, k=n))
+    shared, item = [line(n) for n in (6, 9, 14, 30)], line(14)
+    rows = []
+    for k in range(60):
+        parts = [rng.choice(shared) if rng.random() < 0.3 else line(rng.randrange(5, 40)) for _ in range(rng.randrange(1, 5))]
+        if k % 10 == 0:
+            parts.append(f"{line(4)} {item} {line(3)}")
+        rows.append((k, "\n".join(parts)))
+    rows += [(100 + k, " ".join(w if rng.random() < 0.985 else "zzz" for w in rows[k][1].split(" "))) for k in range(0, 60, 4)] + [(200, rows[1][1]), (201, "123 --"), (202, None)]
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(d, t, "en", f"s{d % 2}", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+    assert set(texts(C.language_id(spark, docs, str(tmp_path)))) == {d for d, t in rows if t and any(map(str.isalpha, t))}
+    cleaned, linked = lines(rows)
+    want = {d: cleaned[d] for d, t in rows if cleaned[d] == t or any(map(str.isalnum, cleaned[d] or ""))}
+    assert linked and texts(C.line_dedup(spark, docs, str(tmp_path))) == want
+    comps = near(dict(rows), 5, 80)
+    assert set(texts(C.near_dedup(spark, docs, str(tmp_path)))) == {d for d, (_, c) in comps.items() if d == c} and len({c for _, c in comps.values()}) < len(rows)
+    kept = {r[0] for r in hits(rows, [(1, item)]) if not r[2]}
+    assert set(texts(C.decontamination(spark, docs, str(tmp_path)))) == kept and len(kept) < len(rows)
+    mixed = C.mixing_sources(spark, docs, str(tmp_path)).collect()
+    counts = {}
+    for r in mixed:
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    assert all(sorted(r.copy_no for r in mixed if r.doc_id == d) == list(range(1, n + 1)) for d, n in counts.items())
