@@ -1,4 +1,5 @@
-"""Word lists, symbol sets and bounds that results depend on. Fixed values, in their natural order."""
+"""Word lists, symbol sets and bounds that results depend on. Fixed values, in their natural order; maps from symbols to
+registers are grouped by register."""
 
 # --- Fixed values: effect categories of external symbols -------------------------------------------------------------
 EFFECTS = {
