@@ -263,9 +263,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """(id, n_shingles, component_id, kept) of each row.
 
     Documents are linked if their sets of ``width``-word shingles have at least ``percent`` hundredths of their union in
-    common; component_id is the smallest id that links reach, and kept marks it. Null and empty texts have no set and
-    are linked with nothing. Rows that share an id are one document with the sets of all of them, each row with its own
-    n_shingles; rows with a null id stand alone, with a null component, and are kept. An empty table gives no rows.
+    common; component_id is the smallest id that links reach, and kept marks it. Ids are integers (a text that is no number
+    is an error: number the rows first). Null and empty texts have no set and are linked with nothing. Rows that share an
+    id are one document with the sets of all of them, each row with its own n_shingles; rows with a null id stand alone,
+    with a null component, and are kept. An empty table gives no rows.
     """
     found, comps = links(docs, width, percent, id_col, text_col)
     joined = found.select("id", "n_shingles", "node").join(comps, "node", "left")
