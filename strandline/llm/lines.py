@@ -1,8 +1,8 @@
 """Line dedup: fuzzy lines, with DataFrame functions alone.
 
 Lines are normalised to their words, and equal ones are one node before anything is compared. Each node has a 64-bit
-SimHash of its words, in which a word weighs by the square of its length, so that short and common words, which most lines
-share, do not decide the bits. Two nodes are candidates if at most K bits differ: by the pigeonhole principle they then
+SimHash of its distinct words, in which a word weighs by the square of its length, so that short and common words, which
+most lines share, do not decide the bits. Two nodes are candidates if at most K bits differ: by the pigeonhole principle they then
 agree on at least B - K of B blocks of bits, so all choices of B - K blocks are join keys, and none is missed.
 
 K of 64 bits are little for a short line, so the same is done with blocks of words: two lines of the same length, or of
@@ -38,12 +38,13 @@ _GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def simhashes(nodes: DataFrame) -> DataFrame:
-    """(node, sig) of distinct lines (node, line): a bit is set if words of more than half the weight have it. Lines without
-    a word of FEW_LETTERS have no SimHash.
+    """(node, sig) of distinct lines (node, line): a bit is set if words of more than half the weight have it. A word counts
+    once, however often a line repeats it, as else lines that repeat the same words would all be alike. Lines without a
+    word of FEW_LETTERS have no SimHash.
 
     Hashes are added up in 32 longs of two lanes, each for up to 2^24 words of full weight.
     """
-    word = nodes.select("node", F.explode(F.split("line", " ")).alias("x")).filter(F.length("x") >= FEW_LETTERS)
+    word = nodes.select("node", F.explode(F.array_distinct(F.split("line", " "))).alias("x")).filter(F.length("x") >= FEW_LETTERS)
     letters = F.least(F.length("x"), F.lit(LETTERS)).cast("bigint")
     h = word.select("node", F.xxhash64("x").alias("h"), (letters * letters).alias("q"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES)) * F.col("q")).alias(f"s{j}") for j in range(BITS // 2)]
