@@ -158,3 +158,19 @@ def test_out_of_fold_scores(spark):
     assert len(got) == 200 and got[8] == again[8] and sum((s > 0.5) == (k * 37 % 101 > 50) for k, s in got.items()) > 190
     lone = boost.out_of_fold(rows.withColumn("y", (F.col("fold") == 1).cast("int")), ["a", "b"], "fold", **how).groupBy("fold").agg(F.max("score").alias("m")).collect()
     assert {r.fold: r.m for r in lone}[1] == 0.0
+
+
+def test_functions_are_told_their_own_part():
+    """What all functions of a program are told grows with the program, not with its square, and no finding is lost."""
+    import json
+
+    def size(n):
+        opened = K.facts(code("mov esi,0x0\ncall 1 <open@plt>\ncall 2 <read@plt>\ncall 3 <send@plt>\nmov DWORD PTR [rbx+0x18],eax\nlea rdi,[rbx+0x20]"))
+        return sum(len(json.dumps(x)) for _, x in K.told({f"f{k:04}": opened for k in range(n)}))
+
+    assert size(800) <= 2 * size(400)
+    codes = {f: code(text) for f, text in PROGRAM.items()}
+    facts = {f: K.facts(c) for f, c in codes.items()}
+    whole, own = K.summary(facts), dict(K.told(facts))
+    found = lambda about: [(f, kernel(f, c, about(f))) for f, c in codes.items() for kernel in K.PROGRAM_KERNELS.values()]
+    assert set(own) == set(codes) and found(own.get) == found(lambda f: whole)
