@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from strandline.operators.graph import cut
+
 #: The documented bound of rows that the trees of a fold are fitted to, drawn by hash beyond it: a fold is one task.
 FIT_ROWS = 200_000
 BINS = 64
@@ -52,7 +54,7 @@ class Trees:
         rng = np.random.default_rng(self.seed)
         n, width = x.shape
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-        binned = np.stack([np.searchsorted(q, c, side="left") for q, c in zip(cuts, x.T, strict=True)], axis=1)
+        binned = np.stack([np.searchsorted(q, c, side="left").astype(np.uint8) for q, c in zip(cuts, x.T, strict=True)])
         open_ = np.array([[k < len(q) for k in range(BINS)] for q in cuts])
         total = np.zeros(n)
         for _ in range(self.rounds):
@@ -60,13 +62,12 @@ class Trees:
             used = rng.random(n) < self.subsample
             some = np.sort(rng.choice(width, max(1, round(self.columns * width)), replace=False))
             g, h = np.where(used, p - y, 0.0), np.where(used, p * (1 - p), 0.0)
-            column, cut = np.zeros(2**self.depth - 1, int), np.full(2**self.depth - 1, np.inf)
+            column, limit = np.zeros(2**self.depth - 1, int), np.full(2**self.depth - 1, np.inf)
             node = np.zeros(n, int)
-            own = binned[:, some]
             for level in range(self.depth):
                 first, wide = 2**level - 1, 2**level
-                at = (((node - first)[:, None] * len(some) + np.arange(len(some))) * BINS + own).ravel()
-                left = [np.cumsum(np.bincount(at, np.repeat(v, len(some)), wide * len(some) * BINS).reshape(wide, len(some), BINS), axis=2) for v in (g, h)]
+                at = (node - first) * BINS
+                left = [np.cumsum(np.stack([np.bincount(at + binned[c], v, wide * BINS).reshape(wide, BINS) for c in some], axis=1), axis=2) for v in (g, h)]
                 (gl, hl), (gt, ht) = left, [v[:, :, -1:] for v in left]
                 gain = gl**2 / (hl + self.l2) + (gt - gl) ** 2 / (ht - hl + self.l2) - gt**2 / (ht + self.l2)
                 gain[(hl < self.least) | (ht - hl < self.least) | ~open_[some]] = 0
@@ -74,29 +75,30 @@ class Trees:
                 split = gain.reshape(wide, -1)[np.arange(wide), best] > 1e-12
                 column[first : first + wide] = some[best // BINS]
                 for k in np.flatnonzero(split):
-                    cut[first + k] = cuts[some[best[k] // BINS]][best[k] % BINS]
-                node = 2 * node + 1 + (x[np.arange(n), column[node]] > cut[node])
+                    limit[first + k] = cuts[some[best[k] // BINS]][best[k] % BINS]
+                node = 2 * node + 1 + (x[np.arange(n), column[node]] > limit[node])
             leaf = node - (2**self.depth - 1)
             gs, hs = (np.bincount(leaf, v, 2**self.depth) for v in (g, h))
             value = -self.step * gs / (hs + self.l2)
             total += value[leaf]
-            self.trees.append((column, cut, value))
+            self.trees.append((column, limit, value))
         return self
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        for column, cut, value in self.trees:
+        for column, limit, value in self.trees:
             node = np.zeros(len(x), int)
             for _ in range(self.depth):
-                node = 2 * node + 1 + (x[np.arange(len(x)), column[node]] > cut[node])
+                node = 2 * node + 1 + (x[np.arange(len(x)), column[node]] > limit[node])
             total += value[node - (2**self.depth - 1)]
         return 1 / (1 + np.exp(-total))
 
 
 def out_of_fold(df: DataFrame, order: list[str], fold: str, rows: int = FIT_ROWS, **how) -> DataFrame:
     """``df`` with ``score``: each row scored by trees of the other folds, fitted to at most about ``rows`` of their rows.
-    A fold whose rest has one label only is scored 0. Trees are fitted a fold a task and then sent to all rows."""
-    kept = assembled(df, order)
+    A fold whose rest has one label only is scored 0. Trees are fitted a fold a task and then sent to all rows. Rows are
+    made once and stored: features written out anew in each plan, and in the hash that draws rows, fill the driver."""
+    kept = cut(assembled(df, order))
     folds = [r[0] for r in kept.select(fold).distinct().orderBy(fold).collect()]
     if not folds:
         return kept.withColumn("score", F.lit(0.0))

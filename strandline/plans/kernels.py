@@ -61,9 +61,9 @@ FEATURES = [f"name_{k}" for k in D.NAME_KEYWORDS] + ["n_words", "n_lines", "n_di
 @query("gbt_train_score")
 def gbt_train_score(spark, sf_dir):
     """Boosted trees (300 rounds, depth 5) on all keyword flags and text measures, scored out of five folds and summed up as a confusion matrix."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     text = F.coalesce("text", F.lit(""))
     measures = [F.size(F.split(text, " ")).alias("n_words"), F.size(F.split(text, "\n")).alias("n_lines"), F.length(F.regexp_replace(text, "[^0-9]", "")).alias("n_digits"), F.length(F.regexp_replace(text, "[^!?.,]", "")).alias("n_marks")]
-    rows = docs.select("doc_id", F.col("quality").alias("y"), *S.keyword_flags(text, D.NAME_KEYWORDS, "name_"), *measures)
+    docs = table(spark, sf_dir, "documents").select("doc_id", *S.keyword_flags(text, D.NAME_KEYWORDS, "name_"), *measures)
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
     scored = boost.out_of_fold(E.stratified_folds(rows, "y", "doc_id"), FEATURES, "fold")
     return E.confusion(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")))

@@ -174,3 +174,15 @@ def test_functions_are_told_their_own_part():
     whole, own = K.summary(facts), dict(K.told(facts))
     found = lambda about: [(f, kernel(f, c, about(f))) for f, c in codes.items() for kernel in K.PROGRAM_KERNELS.values()]
     assert set(own) == set(codes) and found(own.get) == found(lambda f: whole)
+
+
+def test_out_of_fold_makes_rows_once(spark):
+    """Plans after the first, with the one that draws rows by hash, read stored rows and do not repeat how features are made."""
+    from pyspark.sql import functions as F
+
+    from strandline.operators import boost
+
+    rows = spark.range(300).select((F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 2).alias("y"), *(F.contains(F.col("id").cast("string"), F.lit(str(k))).cast("int").alias(f"f{k}") for k in range(9)))
+    got = boost.out_of_fold(rows, [f"f{k}" for k in range(9)], "fold", rows=100, rounds=2, depth=2)
+    assert "contains" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert got.count() == 300 and got.filter("score > 0 and score < 1").count() == 300
