@@ -33,6 +33,8 @@ FEW_LETTERS, LETTERS = 4, 16
 BROADCAST_ROWS, KEY_ROWS = 300_000, 2_000_000
 #: Left-over buckets of more nodes than these are cut by more bits before their nodes are compared pair by pair.
 HOT_NODES = 16
+#: The number of lines for which those bits are chosen.
+FINE = 1 << 40
 _LANES, _HALF = 0x0000000100000001, 0xFFFFFFFF
 _GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -88,12 +90,24 @@ def _of_kind(key: Column, kind: int) -> Column:
     return key.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(kind))
 
 
+def _bit_key(sig: Column, mask: Column, choice: Column) -> Column:
+    return _of_kind(F.xxhash64(sig.bitwiseAND(mask), choice), OF_BITS)
+
+
 def bit_keys(sigs: DataFrame, lines: int, k: int = K) -> DataFrame:
     """``sigs`` (sig and other columns) with a key for each choice of blocks of bits."""
-    keys = [_of_kind(F.xxhash64(F.col("sig").bitwiseAND(F.lit(_signed(m))), F.lit(c)), OF_BITS) for c, m in enumerate(masks(lines, k))]
+    keys = [_bit_key(F.col("sig"), F.lit(_signed(m)), F.lit(c)) for c, m in enumerate(masks(lines, k))]
     return sigs.select("*", F.explode(F.array(*keys)).alias("key"))
 
 
+def first_key(x: Column, y: Column, lines: int, k: int = K) -> Column:
+    """The key of the first choice of blocks that two SimHashes agree on: of all buckets that hold both, one. Null if they
+    agree on none, as none of more than ``k`` different bits need."""
+    made = [F.lit(_signed(m)) for m in masks(lines, k)]
+    at = F.coalesce(*(F.when(x.bitwiseXOR(y).bitwiseAND(m) == 0, F.lit(c)) for c, m in enumerate(made)))
+    return F.when(at.isNotNull(), _bit_key(x, F.get(F.array(*made), at), at))
+
+
 def edits_allowed(n: Column, similarity: float) -> Column:
     """Of the longer of two lines of words."""
     return F.floor((1 - similarity) * n + 1e-9).cast("int")
@@ -177,11 +191,17 @@ def line_groups(lines: DataFrame, similarity: float = SIMILARITY, k: int = K) ->
 
     def rest(now: DataFrame) -> DataFrame:
         sized = now.join(now.groupBy("key").agg(F.count("*").alias("n")), "key")
-        finer = bit_keys(sized.filter(F.col("n") > HOT_NODES).select("node", "sig", "comp").distinct(), 1 << 40, k)
-        rows = sized.filter(F.col("n") <= HOT_NODES).select("key", "node", "sig", "comp").unionByName(finer.select("key", "node", "sig", "comp"))
-        other = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("sig").alias("b_sig"))
-        left = rows.join(other, "key").filter("comp < b_comp").filter(near(F.col("sig"), F.col("b_sig")))
-        return verify(left.select(F.col("node").alias("a"), "b").distinct())
+        finer = bit_keys(sized.filter(F.col("n") > HOT_NODES).select("node", "sig", "comp").distinct(), FINE, k)
+
+        def met(rows: DataFrame, lines: int) -> DataFrame:
+            """Pairs of nodes of one bucket, in the first of all buckets that hold both."""
+            other = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("sig").alias("b_sig"))
+            close = (F.col("comp") < F.col("b_comp")) & near(F.col("sig"), F.col("b_sig"))
+            left = rows.join(other, "key").filter(close).filter(F.col("key") == first_key(F.col("sig"), F.col("b_sig"), lines, k))
+            return left.select(F.col("node").alias("a"), "b")
+
+        rows = sized.filter(F.col("n") <= HOT_NODES).select("key", "node", "sig", "comp")
+        return verify(met(rows, n).unionByName(met(finer.select("key", "node", "sig", "comp"), FINE)).distinct())
 
     comps = merged(comps, verify(pairs))
     comps = bucket_components(members, verify, near, rest, known=comps)

@@ -160,3 +160,19 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     monkeypatch.setattr(L, "HOT_NODES", 8)
     want, linked = brute(rows)
     assert linked == 40 and {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
+
+
+def test_near_hashes_meet_in_one_bucket(spark):
+    """Hashes of at most three different bits share many buckets of bits, and are one pair of one of them."""
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    sigs = {base ^ sum(1 << b for b in rng.sample(range(64), rng.choice((0, 1, 2)))) for _ in range(60)}
+    rows = spark.createDataFrame([(k, L._signed(s)) for k, s in enumerate(sorted(sigs))], "node bigint, sig bigint")
+    close = {(i, j) for i, x in enumerate(sorted(sigs)) for j, y in enumerate(sorted(sigs)) if i < j and (x ^ y).bit_count() <= L.K}
+    for lines in (len(sigs), L.FINE):
+        keyed = L.bit_keys(rows, lines)
+        other = keyed.select("key", F.col("node").alias("b"), F.col("sig").alias("b_sig"))
+        near = keyed.join(other, "key").filter("node < b").filter(F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig"))) <= L.K)
+        got = [tuple(r) for r in near.filter(F.col("key") == L.first_key(F.col("sig"), F.col("b_sig"), lines)).select("node", "b").collect()]
+        assert near.count() > len(close)
+        assert len(got) == len(close) and set(got) == close
