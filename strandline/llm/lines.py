@@ -65,14 +65,19 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return cut.select("id", "row", "at", F.xxhash64("line").alias("node"), m.alias("m"), "line")
 
 
-def masks(lines: int, k: int = K) -> list[int]:
-    """The bits of each join key: every choice of B - k of B blocks, with B so that a key has about four bits more than
-    the number of lines. Which B is taken changes the work but not what is found."""
+def blocks(lines: int, k: int = K) -> tuple[list[int], int]:
+    """The blocks of bits, and how many of them a key has: all but k, cut so that a key has about four bits more than the
+    number of lines. Which number of blocks is taken changes the work but not what is found."""
     need = max(1, lines).bit_length() + 4
     b = next((b for b in range(k + 2, 14) if BITS * (b - k) // b >= need), 13)
     edges = [BITS * i // b for i in range(b + 1)]
-    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, b - k)]
+    return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)], b - k
+
+
+def masks(lines: int, k: int = K) -> list[int]:
+    """The bits of each join key: every choice of B - k of B blocks."""
+    cut, held = blocks(lines, k)
+    return [sum(c) for c in combinations(cut, held)]
 
 
 def _signed(x: int) -> int:
@@ -90,22 +95,29 @@ def _of_kind(key: Column, kind: int) -> Column:
     return key.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(kind))
 
 
-def _bit_key(sig: Column, mask: Column, choice: Column) -> Column:
-    return _of_kind(F.xxhash64(sig.bitwiseAND(mask), choice), OF_BITS)
+def _bit_key(sig: Column, mask: Column) -> Column:
+    return _of_kind(F.xxhash64(sig.bitwiseAND(mask), mask), OF_BITS)
+
+
+def _literal(made: list[int]) -> Column:
+    """Masks as one constant: an expression for each of hundreds would be planned, printed and compiled by the driver."""
+    return F.array(*(F.lit(_signed(m)) for m in made))
 
 
 def bit_keys(sigs: DataFrame, lines: int, k: int = K) -> DataFrame:
     """``sigs`` (sig and other columns) with a key for each choice of blocks of bits."""
-    keys = [_bit_key(F.col("sig"), F.lit(_signed(m)), F.lit(c)) for c, m in enumerate(masks(lines, k))]
-    return sigs.select("*", F.explode(F.array(*keys)).alias("key"))
+    each = sigs.select("*", F.explode(_literal(masks(lines, k))).alias("__sl_mask"))
+    return each.select(*sigs.columns, _bit_key(F.col("sig"), F.col("__sl_mask")).alias("key"))
 
 
 def first_key(x: Column, y: Column, lines: int, k: int = K) -> Column:
-    """The key of the first choice of blocks that two SimHashes agree on: of all buckets that hold both, one. Null if they
-    agree on none, as none of more than ``k`` different bits need."""
-    made = [F.lit(_signed(m)) for m in masks(lines, k)]
-    at = F.coalesce(*(F.when(x.bitwiseXOR(y).bitwiseAND(m) == 0, F.lit(c)) for c, m in enumerate(made)))
-    return F.when(at.isNotNull(), _bit_key(x, F.get(F.array(*made), at), at))
+    """The key of the first choice of blocks that two SimHashes agree on, which is that of the first blocks they agree on:
+    of all buckets that hold both, one. Null if they agree on too few blocks, as none of at most ``k`` different bits do."""
+    cut, held = blocks(lines, k)
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("mask"))
+    agree = lambda found, m: (x.bitwiseXOR(y).bitwiseAND(m) == 0) & (found["n"] < held)
+    step = lambda found, m: F.when(agree(found, m), F.struct((found["n"] + 1).alias("n"), found["mask"].bitwiseOR(m).alias("mask"))).otherwise(found)
+    return F.aggregate(_literal(cut), none, step, lambda found: F.when(found["n"] == held, _bit_key(x, found["mask"])))
 
 
 def edits_allowed(n: Column, similarity: float) -> Column:

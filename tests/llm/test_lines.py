@@ -176,3 +176,14 @@ def test_near_hashes_meet_in_one_bucket(spark):
         got = [tuple(r) for r in near.filter(F.col("key") == L.first_key(F.col("sig"), F.col("b_sig"), lines)).select("node", "b").collect()]
         assert near.count() > len(close)
         assert len(got) == len(close) and set(got) == close
+
+
+def test_keys_of_bits_stay_small_in_plans(spark):
+    """The driver plans and compiles what a query says: hundreds of masks are one constant there, not an expression each."""
+    sigs = spark.createDataFrame([(1, 5)], "node bigint, sig bigint")
+    keyed = L.bit_keys(sigs, L.FINE)
+    other = keyed.select("key", F.col("node").alias("b"), F.col("sig").alias("b_sig"))
+    met = keyed.join(other, "key").filter(F.col("key") == L.first_key(F.col("sig"), F.col("b_sig"), L.FINE))
+    assert len(L.masks(L.FINE)) > 100
+    for df in (keyed, met):
+        assert len(df._jdf.queryExecution().optimizedPlan().toJSON()) < 50_000
