@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import scoped, small, stored
+from strandline.llm.common import batches, scoped, small, stored
 
 LENGTH, SEED = 400, 64
 #: Strings from so many bytes on, about 40 words, are reported as repeated, though only those of LENGTH are removed.
@@ -32,6 +32,8 @@ HOT_SEED = 2_000
 HOT_ROWS = 200_000
 #: Runs are cut at so many bytes of contexts, which bounds a task's memory while it sorts.
 RUN_BYTES = 24_000_000
+#: Texts, and runs, that a Python worker is handed at once.
+BATCH_ROWS, BATCH_RUNS = 500, 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 _BLOCK = 1 << 16
@@ -264,10 +266,10 @@ def _runs(lengths: tuple[int, ...], seed: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
         for batch in batches:
-            for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = _bytes(text)
+            for row in zip(*batch.columns, strict=True):
+                key, raw, wanted = row[0].as_py(), _bytes(row[1].as_py()), set(row[2].as_py())
                 at, h = anchors(raw, min(lengths), seed)
-                spans, wanted = windows(raw, at, h, lengths, seed), set(wanted)
+                spans = windows(raw, at, h, lengths, seed)
                 for p, x in zip(at.tolist(), h.tolist(), strict=True):
                     if p in wanted and p in spans:
                         lo, end = spans[p]
@@ -278,9 +280,9 @@ def _runs(lengths: tuple[int, ...], seed: int, parts: int):
                         else:
                             held[context] = [x, [(key, p)], False]
                             size += end - lo
-                if size > RUN_BYTES:
-                    yield from cut(held)
-                    held, size = {}, 0
+                        if size > RUN_BYTES:
+                            yield from cut(held)
+                            held, size = {}, 0
         yield from cut(held)
 
     return run
@@ -375,7 +377,9 @@ def repeats(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH, PASSAGE), seed:
     # equal texts are one here, however many rows hold them
     shortest = min(lengths)
     texts = docs.select(F.col(text_col).alias("text")).filter(F.octet_length("text") >= shortest)
-    scanned = stored(texts.mapInArrow(_scan(shortest, seed), "key binary, n bigint, at array<bigint>, h array<bigint>"), "anchors")
+    spark = docs.sparkSession
+    with batches(spark, BATCH_ROWS):
+        scanned = stored(texts.mapInArrow(_scan(shortest, seed), "key binary, n bigint, at array<bigint>, h array<bigint>"), "anchors")
     distinct = stored(scanned.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("at").alias("at"), F.first("h").alias("h")), "texts")
     each = F.explode(F.array(*(F.lit(x).cast("bigint") for x in lengths)))
     whole = distinct.filter("copies > 1").select("key", F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi"), each.alias("length")).filter("hi >= length")
@@ -389,13 +393,14 @@ def repeats(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH, PASSAGE), seed:
     keyed = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     # what is wanted grows with the texts, so it is dealt out with them, and hashed there instead of sorting texts
     rows = keyed.join(wanted.hint("shuffle_hash"), "key")
-    spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = rows.select("key", "text", "wanted").dropDuplicates(["key"]).mapInArrow(_runs(lengths, seed, 4 * parts), RUN_DDL)
-    runs = stored(runs, "runs")
+    with batches(spark, BATCH_ROWS):
+        runs = stored(runs, "runs")
     merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(lengths), "key binary, lo bigint, hi bigint, length bigint")
     found = merged.unionByName(whole).distinct()
-    return stored(found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "length")).alias("spans")), "spans", keep=True)
+    with batches(spark, BATCH_RUNS):
+        return stored(found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "length")).alias("spans")), "spans", keep=True)
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -411,7 +416,7 @@ def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(k, BATCH_ROWS) for x in batches for k in range(0, x.num_rows, BATCH_ROWS)):
             rows = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = _bytes(text)

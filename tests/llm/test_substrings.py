@@ -86,3 +86,21 @@ def test_odd_rows(spark, odd, none):
     assert len(got) == odd.count()
     assert next(r for r in got if r.doc_id == 1).n_removed == next(r for r in got if r.doc_id == 1).n_bytes
     assert S.remove_repeats(none, 40, 16).count() == 0
+
+
+def test_workers_are_handed_few_rows_at_once(spark, monkeypatch):
+    """Python workers hold a bounded number of texts or runs, however many rows a task has."""
+    import pyarrow as pa
+
+    seen, put = {}, S.stored
+
+    def stored(df, name, **named):
+        seen[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return put(df, name, **named)
+
+    monkeypatch.setattr(S, "stored", stored)
+    S.repeats(spark.createDataFrame([("ab " * 200,), ("ab " * 200,)], "text string"), (60, 40), 16)
+    assert max(seen["anchors"], seen["runs"]) <= 500 and seen["spans"] <= 16
+    rows = pa.RecordBatch.from_pylist([{"id": k, "text": "x", "spans": [{"lo": 0, "hi": 1, "length": 40}]} for k in range(1200)])
+    got = list(S._cut(40)(iter([rows])))
+    assert sum(x.num_rows for x in got) == 1200 and max(x.num_rows for x in got) <= 500
