@@ -20,7 +20,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import bucket_components, merged, scoped, small, stored, stored_and
@@ -35,25 +35,42 @@ BROADCAST_ROWS, KEY_ROWS = 300_000, 2_000_000
 HOT_NODES = 16
 #: The number of lines for which those bits are chosen.
 FINE = 1 << 40
-_LANES, _HALF = 0x0000000100000001, 0xFFFFFFFF
-_GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Lines of up to so many letters weigh less than 2^20: a letter counts LETTERS at most.
+SHORT = (1 << 20) // LETTERS - 1
+#: Halves of lines are told apart by so many words of them.
+HALF_WORDS = 16
+#: What stands between words, line feeds apart. One by one, as Java looks up listed characters but tests ranges in turn.
+_GAP = "[" + "".join(f"\\x{c:02X}" for c in range(128) if c != 10 and not chr(c).isdigit() and not chr(c).islower()) + "]+"
 
 
 def simhashes(nodes: DataFrame) -> DataFrame:
-    """(node, sig) of distinct lines (node, line): a bit is set if words of more than half the weight have it. A word counts
+    """(node, sig) of lines (node, line): a bit is set if words of more than half the weight have it. A word counts
     once, however often a line repeats it, as else lines that repeat the same words would all be alike. Lines without a
     word of FEW_LETTERS have no SimHash.
 
-    Hashes are added up in 32 longs of two lanes, each for up to 2^24 words of full weight.
+    Hashes are added up in 22 longs, which have three lanes of 21 bits but for the last; for lines of more than SHORT
+    letters, which could fill those, in a long for each bit.
     """
+    short = F.length("line") <= SHORT
+    return _added(nodes.filter(short), 21).unionByName(_added(nodes.filter(~short), 63))
+
+
+def _added(lines: DataFrame, width: int) -> DataFrame:
+    """(node, sig) of lines whose weight is below the highest bit of a lane of ``width`` bits. All lanes of a long are
+    compared with half the weight at once: else the code is more than Java compiles."""
+    held = 63 // width * width
+    ones = lambda j: sum(1 << at for at in range(0, held if j < held else 1, width))
+    nodes = lines.groupBy("node").agg(F.first("line").alias("line"))
     word = nodes.select("node", F.explode(F.array_distinct(F.split("line", " "))).alias("x")).filter(F.length("x") >= FEW_LETTERS)
     letters = F.least(F.length("x"), F.lit(LETTERS)).cast("bigint")
     h = word.select("node", F.xxhash64("x").alias("h"), (letters * letters).alias("q"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES)) * F.col("q")).alias(f"s{j}") for j in range(BITS // 2)]
+    longs = [*range(width if held > width else BITS), *(range(held, BITS) if held > width else ())]
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ones(j))) * F.col("q")).alias(f"s{j}") for j in longs]
     counted = h.groupBy("node").agg(F.sum("q").alias("n"), *sums)
-    lanes = [F.col(f"s{j}").bitwiseAND(F.lit(_HALF)) for j in range(BITS // 2)] + [F.shiftrightunsigned(f"s{j}", 32) for j in range(BITS // 2)]
-    bits = [F.when(lane * 2 > F.col("n"), F.lit(_signed(1 << b))).otherwise(F.lit(0)) for b, lane in enumerate(lanes)]
-    return counted.select("node", reduce(lambda x, y: x.bitwiseOR(y), bits).cast("bigint").alias("sig"))
+    # a lane is over half the weight if this much more sets its highest bit
+    more = F.lit((1 << width - 1) - 1) - F.shiftrightunsigned("n", 1)
+    over = lambda j: F.shiftrightunsigned(F.col(f"s{j}") + more * F.lit(ones(j)), width - 1).bitwiseAND(F.lit(ones(j)))
+    return counted.select("node", reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(over(j), j) for j in longs)).alias("sig"))
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,7 +78,7 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     case with single spaces, and the hash of that; row: the text's hash."""
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.regexp_replace(F.lower(text_col), _GAP, " ").alias("t"))
     cut = plain.select("id", "row", F.posexplode(F.split("t", "\n")).alias("at", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
-    m = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    m = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     return cut.select("id", "row", "at", F.xxhash64("line").alias("node"), m.alias("m"), "line")
 
 
@@ -140,9 +157,49 @@ def word_keys(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return each.select(_of_kind(F.xxhash64("n", "i", part(before), part(-after)), OF_WORDS).alias("key"), "node")
 
 
+def half_keys(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, node) of lines (node, m, line): two lines that share one of their word_keys() share one of these, which are fewer.
+    Of the words outside a block half stand before it or half after it, so that many first or last words are alike."""
+    m = F.col("m")
+    held = lambda n: F.when(edits_allowed(n, similarity) > 0, F.least(F.ceil((n - edits_allowed(n, similarity)) / 2).cast("int"), F.lit(HALF_WORDS)))
+    counts = F.array_distinct(F.array_compact(F.array(held(m), held(m + 1))))
+    each = lines.select("node", "line", F.explode(counts).alias("c")).select("node", "line", F.explode(F.array(F.col("c"), -F.col("c"))).alias("c"))
+    return each.select(F.xxhash64("c", F.call_function("substring_index", F.col("line"), F.lit(" "), F.col("c"))).alias("key"), "node")
+
+
+def shortest(edits: int, similarity: float = SIMILARITY) -> int:
+    """The fewest words of a line that so many edits may link with another."""
+    allowed = lambda n: int((1 - similarity) * n + 1e-9)
+    return next((n - allowed(n) for n in range(1, 1000) if allowed(n) >= edits), 900) if similarity < 1 else 1 << 30
+
+
+def run_length(similarity: float) -> int:
+    """Of how many words the runs are of which linked lines are sure to share one: an edit changes as many runs. 0: none is sure."""
+    allowed = lambda n: int((1 - similarity) * n + 1e-9)
+    return next((q for q in (2, 1) if all(n - q + 1 > q * allowed(n) for n in range(1, 1000) if allowed(n))), 0)
+
+
+def run_keys(lines: DataFrame, similarity: float, q: int) -> DataFrame:
+    """(key, node) of distinct lines (node, m, line): a hash of each of the rarest runs of ``q`` words, as many that two linked
+    lines share one. Of the runs of a line all but q for each edit stand in the other, so the q for each edit and one more
+    that come first in an order of all runs do. Runs that a line repeats are numbered."""
+    w = F.split("line", " ")
+    at = F.sequence(F.lit(1), F.col("m") - (q - 1))
+    run = lines.filter(F.col("m") >= q).select("node", "m", F.explode(F.transform(at, lambda i: F.xxhash64(F.slice(w, i, q)))).alias("run"))
+    each = run.groupBy("node", "m", "run").count().select("node", "m", F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda i: F.xxhash64("run", i))).alias("key"))
+    each = stored(each, "line-all-runs")
+    often = each.groupBy("key").agg(F.count("*").alias("often"))
+    # the longer line of a pair, which sets the edits, has at most m / similarity words
+    taken = q * F.floor((1 - similarity) / similarity * F.col("m") + 1e-6) + 1
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "key"))
+    return each.join(often, "key").withColumn("place", place).filter(F.col("place") <= taken).select("key", "node")
+
+
 def _codes(line: Column) -> Column:
-    """Words as one character each (20,000 kinds by hash), so that edits of words are edits of characters."""
-    return _characters(F.transform(F.split(line, " "), lambda x: (F.pmod(F.xxhash64(x, F.lit(8)), F.lit(20_000)) + 0x4E00).cast("int")))
+    """Words as one character each (2^20 kinds by hash, all beyond 16 bits, as pairs of surrogates), so that edits of words are
+    edits of characters. Of fewer kinds long lines would hold two words of one, which costs the numbers of _verifier()."""
+    pair = lambda h: (F.shiftrightunsigned(h, 54) + 0xD800) * 65536 + F.shiftrightunsigned(h, 44).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+    return _characters(F.transform(F.split(line, " "), lambda x: pair(F.xxhash64(x, F.lit(8)))))
 
 
 def _characters(codes: Column) -> Column:
@@ -178,44 +235,60 @@ def line_groups(lines: DataFrame, similarity: float = SIMILARITY, k: int = K) ->
     """(key, keeper): for each distinct line that stands in several places of ``lines`` (as split_lines() has them), or is
     linked with others, the first place (id, row, at) of its connected group."""
     spark = lines.sparkSession
-    # a line of fewer words has no edits to spend, not even as the shorter of two
-    least = next((m for m in range(1, 1000) if int((1 - similarity) * (m + 1) + 1e-9) > 0), 1000) if similarity < 1 else 1 << 30
-    worded = lines.filter(F.col("m") >= least).select("node", "m", "line")
-    sigs, n = stored_and(simhashes(worded.groupBy("node").agg(F.first("line").alias("line"))), "line-hashes")
-    keyed = bit_keys(sigs, n, k).select("key", "node").unionByName(word_keys(worded, similarity))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    buckets = stored(buckets, "line-buckets")
-    # buckets of more than two are few: their keys pick their nodes, from the hashes or from the lines again
-    wide = stored(buckets.filter("n > 2").select("key", "lo"), "line-wide")
-    drawn = word_keys(worded, similarity).join(small(wide.filter(_kind() == OF_WORDS), KEY_ROWS), "key").filter("lo < node")
-    by_bits = bit_keys(sigs, n, k).join(small(wide.filter(_kind() == OF_BITS).select("key"), KEY_ROWS), "key", "left_semi")
-    members = stored(by_bits.select("key", F.pmod(F.shiftright("key", 1), F.lit(4)).cast("int").alias("band"), "node", "sig", F.lit(0).alias("weight")), "line-members")
-    two = buckets.filter("n = 2").select("key", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    sure = two.filter(_kind() == OF_WORDS).select("a", "b").unionByName(drawn.select(F.col("lo").alias("a"), F.col("node").alias("b")))
-    comps = merged(spark.createDataFrame([], "node bigint, comp bigint"), sure.distinct())
-    own = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    worded = lines.filter(F.col("m") >= shortest(1, similarity)).select("node", "m", "line")
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= k
-    close = two.filter(_kind() == OF_BITS).join(own("a"), "a").join(own("b"), "b").filter(near(F.col("sig_a"), F.col("sig_b")))
-    pairs = stored(close.select("a", "b").distinct(), "line-pairs")
+    # lines a single edit apart share a key of words, so bits are asked only of lines that may be linked by more
+    sigs, n = stored_and(simhashes(worded.filter(F.col("m") >= shortest(2, similarity))), "line-hashes")
+    met = bit_keys(sigs.select("sig"), n, k).groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("n"))
+    met = stored(met.filter((F.col("n") > 2) | (F.col("n") == 2) & near(F.col("lo"), F.col("hi"))), "line-buckets")
+    # buckets of more than two are few: their keys pick their nodes, from the hashes again
+    by_bits = bit_keys(sigs, n, k).join(small(met.filter("n > 2").select("key"), KEY_ROWS), "key", "left_semi")
+    members = stored(by_bits.select("key", F.pmod(F.shiftright("key", 1), F.lit(4)).cast("int").alias("band"), "node", "sig", F.lit(0).alias("weight")), "line-members")
+    two = met.filter("n = 2").select("lo", "hi").distinct()
+    ends = stored(sigs.join(small(two.select(F.explode(F.array("lo", "hi")).alias("sig")).distinct(), KEY_ROWS), "sig", "left_semi").select("node", "sig"), "line-ends")
+    own = lambda sig, c: ends.select(F.col("sig").alias(sig), F.col("node").alias(c))
+    pairs = two.join(own("lo", "x"), "lo").join(own("hi", "y"), "hi").filter("lo <> hi or x < y")
+    pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "line-pairs")
     asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct(), "line-asked")
-    texts = worded.join(small(asked, KEY_ROWS), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
-    verify = _verifier(stored(texts.withColumn("coded", _codes(F.col("line"))), "line-texts"), similarity)
+    # only lines that share a half with another can share the rest of their words with one
+    halves = half_keys(worded, similarity).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    halves = stored(halves.select("key"), "line-halves")
+    alike = stored(half_keys(worded, similarity).join(small(halves, KEY_ROWS), "key", "left_semi").select("node").distinct(), "line-alike")
+    picked = alike.withColumn("half", F.lit(True)).unionByName(asked.withColumn("half", F.lit(False)))
+    picked = stored(picked.groupBy("node").agg(F.max("half").alias("half"), (~F.min("half")).alias("asked")), "line-picked")
+    texts = worded.join(small(picked, KEY_ROWS), "node")
+    texts = stored(texts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("m", "line", "half", "asked"))), "line-texts")
+    halved = texts.filter("half")
+    buckets = word_keys(halved, similarity).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    buckets = stored(buckets, "line-word-buckets")
+    drawn = word_keys(halved, similarity).join(small(buckets.filter("n > 2").select("key", "lo"), KEY_ROWS), "key").filter("lo < node")
+    sure = buckets.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(drawn.select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    comps = merged(spark.createDataFrame([], "node bigint, comp bigint"), sure.distinct())
+    verify = _verifier(stored(texts.filter("asked").select("node", "line", _codes(F.col("line")).alias("coded")), "line-coded"), similarity)
 
     def rest(now: DataFrame) -> DataFrame:
         sized = now.join(now.groupBy("key").agg(F.count("*").alias("n")), "key")
-        finer = bit_keys(sized.filter(F.col("n") > HOT_NODES).select("node", "sig", "comp").distinct(), FINE, k)
+        hot = stored(sized.filter(F.col("n") > HOT_NODES).select("node", "sig", "comp").distinct(), "line-hot")
 
-        def met(rows: DataFrame, lines: int) -> DataFrame:
-            """Pairs of nodes of one bucket, in the first of all buckets that hold both."""
+        def met(rows: DataFrame, once=None) -> DataFrame:
             other = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("sig").alias("b_sig"))
-            close = (F.col("comp") < F.col("b_comp")) & near(F.col("sig"), F.col("b_sig"))
-            left = rows.join(other, "key").filter(close).filter(F.col("key") == first_key(F.col("sig"), F.col("b_sig"), lines, k))
-            return left.select(F.col("node").alias("a"), "b")
-
-        rows = sized.filter(F.col("n") <= HOT_NODES).select("key", "node", "sig", "comp")
-        return verify(met(rows, n).unionByName(met(finer.select("key", "node", "sig", "comp"), FINE)).distinct())
-
-    comps = merged(comps, verify(pairs))
+            left = rows.join(other, "key").filter((F.col("comp") < F.col("b_comp")) & near(F.col("sig"), F.col("b_sig")))
+            return (left.filter(once) if once is not None else left).select(F.col("node").alias("a"), "b")
+
+        # a pair is met in the first of all buckets of bits that hold both
+        first = lambda lines: F.col("key") == first_key(F.col("sig"), F.col("b_sig"), lines, k)
+        cool = met(sized.filter(F.col("n") <= HOT_NODES).select("key", "node", "sig", "comp"), first(n))
+        runs = run_length(similarity)
+        if runs:
+            keyed = run_keys(texts.join(small(hot.select("node"), KEY_ROWS), "node", "left_semi"), similarity, runs)
+            warm = met(stored(keyed.join(hot, "node").select("key", "node", "sig", "comp"), "line-runs"))
+        else:
+            warm = met(bit_keys(hot, FINE, k).select("key", "node", "sig", "comp"), first(FINE))
+        return verify(cool.unionByName(warm).distinct())
+
+    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(a_comp, a) <> coalesce(b_comp, b)")
+    comps = merged(comps, verify(apart.select("a", "b")))
     comps = bucket_components(members, verify, near, rest, known=comps)
     nodes = lines.groupBy("node").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("n"))
     grouped = nodes.join(comps, "node", "left").filter("comp is not null or n > 1").withColumn("comp", F.coalesce("comp", "node"))

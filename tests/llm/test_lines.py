@@ -187,3 +187,78 @@ def test_keys_of_bits_stay_small_in_plans(spark):
     assert len(L.masks(L.FINE)) > 100
     for df in (keyed, met):
         assert len(df._jdf.queryExecution().optimizedPlan().toJSON()) < 50_000
+
+
+def shuffled(rng, lines, words=30):
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.choice((3, 4, 7)))) for _ in range(words)]
+    rows = []
+    for _ in range(lines):
+        w = list(vocab)
+        rng.shuffle(w)
+        rows += [w, [w[1], w[0], *w[2:28], w[29], w[28]]]
+    return [(d, " ".join(w)) for d, w in enumerate(rows)]
+
+
+def test_large_buckets_are_not_dealt_by_bits_again(spark, monkeypatch):
+    """Lines of large left-over buckets meet by a few runs of words, not by every choice of blocks of bits."""
+    asked, made = [], L.bit_keys
+    monkeypatch.setattr(L, "bit_keys", lambda sigs, lines, k=L.K: asked.append(lines) or made(sigs, lines, k))
+    monkeypatch.setattr(L, "HOT_NODES", 8)
+    rows = shuffled(random.Random(4), 20)
+    want, linked = brute(rows)
+    assert linked and {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
+    assert asked and max(asked) == len(rows)
+
+
+def test_linked_lines_share_a_run(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.choice((3, 4, 7)))) for _ in range(40)]
+    rows = [(d, t.split()) for d, t in edited(rng, vocab, (8, 9, 10, 14, 20, 33, 60) * 4)]
+    df = spark.createDataFrame([(d, len(w), " ".join(w)) for d, w in rows], "node bigint, m int, line string")
+    for similarity in (0.8, 0.4):
+        q = L.run_length(similarity)
+        keys = {}
+        for r in L.run_keys(df, similarity, q).collect():
+            keys.setdefault(r.node, set()).add(r.key)
+        linked = [(a, b) for a, v in rows for b, w in rows if a < b and edits(v, w) <= int((1 - similarity) * max(len(v), len(w)) + 1e-9)]
+        assert len(linked) > 30 and all(keys[a] & keys[b] for a, b in linked)
+        assert all(len(keys[a]) <= q * int((1 - similarity) / similarity * len(w) + 1e-6) + 1 for a, w in rows)
+    assert L.run_length(0.8) == 2 and L.run_length(0.4) == 1 and L.run_length(0) == 0
+
+
+def test_lines_that_share_a_word_key_share_a_half(spark):
+    """There are fewer keys of halves, so they are asked first."""
+    rng = random.Random(7)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.choice((3, 4, 7)))) for _ in range(300)]
+    rows = edited(rng, vocab, (4, 5, 6, 9, 10, 14, 20, 33, 60, 120) * 3)
+    df = spark.createDataFrame([(d, len(t.split()), t) for d, t in rows], "node bigint, m int, line string")
+
+    def pairs(keyed):
+        by = {}
+        for r in keyed.collect():
+            by.setdefault(r.key, set()).add(r.node)
+        return sum(map(len, by.values())), {(a, b) for x in by.values() for a in x for b in x if a < b}
+
+    n, halves = pairs(L.half_keys(df))
+    most, want = pairs(L.word_keys(df))
+    assert len(want) > 20 and want <= halves and n < most / 3
+
+
+def test_hashes_of_short_and_long_lines(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(L, "SHORT", 200, raising=False)
+    rows = [(n, " ".join("".join(rng.choices("abcdefghij", k=rng.choice((3, 4, 7, 20)))) for _ in range(n))) for n in (1, 2, 5, 9, 30, 200, 2000)]
+    rows.append((99, "one word as long as two " + "x" * 300))
+    got = {r.node: r.sig & (2**64 - 1) for r in L.simhashes(spark.createDataFrame(rows, "node bigint, line string")).collect()}
+    assert got == {n: h for n, t in rows if (h := simhash(t.split())) is not None}
+
+
+def test_hashing_stays_below_what_java_compiles(spark):
+    """HotSpot leaves methods of 8,000 bytes and more to its interpreter."""
+    lines = spark.createDataFrame([(1, "some words")], "node bigint, line string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    made = L.simhashes(lines.limit(1))._jdf.queryExecution().debug().codegenToSeq()
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())]
+    assert sum(x >= 8_000 for x in sizes) <= 1  # lines of more than SHORT letters
