@@ -12,7 +12,7 @@ edit similarity over words, and one occurrence of each connected group is kept.
 
 All lines of a bucket of words differ within one block alone, and so are links of each other: each is drawn to the least of
 them. Buckets of bits may hold lines that are no links: those of two nodes are one pair, larger ones name heads, and what
-is then left in different components is compared pair by pair, in buckets that are cut by more bits where many are left.
+is then left in different components is compared pair by pair, where many are left only if they share a rare run of words.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ SIMILARITY = 0.8
 FEW_LETTERS, LETTERS = 4, 16
 #: Tables up to so many rows are broadcast, after they have been counted: of a key and a place each, and of one key.
 BROADCAST_ROWS, KEY_ROWS = 300_000, 2_000_000
-#: Left-over buckets of more nodes than these are cut by more bits before their nodes are compared pair by pair.
+#: Nodes of left-over buckets of more nodes than these are compared where they share a run of words (see run_keys).
 HOT_NODES = 16
-#: The number of lines for which those bits are chosen.
+#: Where no run is sure to be shared, buckets are cut by more bits: the number of lines for which those are chosen.
 FINE = 1 << 40
 #: Lines of up to so many letters weigh less than 2^20: a letter counts LETTERS at most.
 SHORT = (1 << 20) // LETTERS - 1
