@@ -186,3 +186,25 @@ def test_out_of_fold_makes_rows_once(spark):
     got = boost.out_of_fold(rows, [f"f{k}" for k in range(9)], "fold", rows=100, rounds=2, depth=2)
     assert "contains" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
     assert got.count() == 300 and got.filter("score > 0 and score < 1").count() == 300
+
+
+def test_out_of_fold_fits_to_all_rows(spark):
+    """Beyond the rows of one task trees are fitted to all rows by tasks that meet, and are the trees that one task makes;
+    equal rows count as often as they stand there."""
+    from pyspark.sql import functions as F
+
+    from strandline.operators import boost
+
+    mixed = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m))
+    rows = spark.range(2000).select("id", (F.col("id") % 3).cast("int").alias("fold"), (mixed(1, 1000) / 7).alias("a"), (mixed(2, 1000) / 7).alias("b"), (mixed(3, 30) == 0).cast("int").alias("c"), F.lit(1.0).alias("d"), (F.col("id") == 3).cast("int").alias("e"))
+    rows = rows.withColumn("y", ((F.col("a") > F.col("b")) != (mixed(4, 10) == 0)).cast("int"))
+    rows = rows.unionAll(rows.filter("id < 5").crossJoin(spark.range(100).select())).cache()
+    how = {"rounds": 15, "depth": 4, "step": 0.3}
+    alone, met = ({tuple(r)[:-1]: r.score for r in boost.out_of_fold(df, ["a", "b", "c", "d", "e"], "fold", rows=n, **how).collect()} for df, n in ((rows, 10_000), (rows.repartition(7), 500)))
+    assert alone == met and len(met) == 2000 and len(set(met.values())) > 100
+    sizes = {k: rows.filter(F.col("fold") != k).count() for k in range(3)}
+    sets = rows.select(F.col("fold").alias("__own"), F.lit(1).alias("__w"), F.col("a").cast("double"), F.col("c").cast("double"))
+    for k, (a, c) in boost.quantile_cuts(sets, ["a", "c"], sizes).items():
+        values = sorted(r.a for r in rows.filter(F.col("fold") != k).collect())
+        assert a.tolist() == sorted({values[j * (len(values) - 1) // 64] for j in range(1, 64)} - {values[-1]}) and c.tolist() == [0.0]
+    rows.unpersist()
